@@ -20,3 +20,7 @@ def query(oracle: str | None = None):
         return f
 
     return add
+
+
+# the modules register their queries as they are imported
+from . import store_queries, stream_queries, text_queries, vector_queries  # noqa: E402, F401
