@@ -29,8 +29,10 @@ FIELDS = [
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points on whose class the two libraries agree (a test compares them all).
 AGREED = r"\x00-ͷЀ-ԯؠ-ە -⁯₠-₿　-〩ぁ-ゖ゠-ヾ一-龥가-힣\U0001f300-\U0001f5ff\U0001f600-\U0001f64f"
-#: Merged pre-tokens a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Marks that are a pre-token of their own behind a word.
+MARKS = frozenset(".,;:!?")
+#: Units a worker remembers; then it starts anew.
+REMEMBERED = 700_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -44,16 +46,28 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+class Irregular(Exception):
+    """White space that a text's units don't show."""
+
+
 class Counter(dict):
-    """Pre-token to its number of tokens; whole ones are there from the start."""
+    """Unit to its number of tokens.
+
+    A unit is what stands between single spaces (it counts with the space before
+    it), or a line's first word with the line feed before it. Pre-tokens never
+    go across such a border, so a text's tokens are the sum over its units; a
+    text with other white space is cut by the regular expression instead.
+    """
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         self.special = sorted((t["content"] for t in said.get("added_tokens", [])), key=len, reverse=True)
@@ -61,14 +75,16 @@ class Counter(dict):
         self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not said.get("normalizer") and not any(t[k] for t in said.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip"))
         self.find = regex.compile(PRE_TOKEN).findall
         self.odd = regex.compile(f"[^{AGREED}]").search
-        self.whole: dict[str, int] = {}
-        if self.plain:
-            self.whole = dict.fromkeys(self.prove(said["model"]["vocab"]), 1)
-        super().__init__(self.whole)
+        self.other_space = regex.compile(r"[^\S \n]|[\x1c-\x1f]").search
+        self.letters = byte_letters()
+        #: pre-tokens that are proved to be one token
+        self.whole: frozenset[str] = frozenset(self.prove(said["model"]["vocab"])) if self.plain else frozenset()
+        self.feed = self.tokens_of("\n") if self.plain else 0
+        self.start()
 
     def prove(self, vocabulary: dict[str, int]) -> list[str]:
         """Strings of the vocabulary that are one pre-token and encode alone as that one token."""
-        byte_of = {c: b for b, c in byte_letters().items()}
+        byte_of = {c: b for b, c in self.letters.items()}
         texts = []
         for token in vocabulary:
             try:
@@ -80,14 +96,42 @@ class Counter(dict):
         got = self.library.encode_batch(texts, add_special_tokens=False)
         return [t for t, e in zip(texts, got, strict=True) if len(e.ids) == 1]
 
-    def __missing__(self, piece: str) -> int:
-        if len(self) > len(self.whole) + REMEMBERED:
-            self.clear()
-            self.update(self.whole)
-        n = len(self.library.encode(piece, add_special_tokens=False).ids)
-        self[piece] = n
+    def start(self) -> None:
+        """Forgets all units but those that are whole tokens with a space before them."""
+        self.clear()
+        self.update((t[1:], 1) for t in self.whole if t[0] == " " and len(t) > 1)
+
+    def tokens_of(self, piece: str) -> int:
+        """Tokens of a pre-token: one if it is whole, else what the model merges."""
+        return 1 if piece in self.whole else len(self.model.tokenize(letters_of(piece, self.letters)))
+
+    def __missing__(self, unit: str) -> int:
+        if not unit or unit == "\n":
+            raise Irregular
+        if len(self) > REMEMBERED:
+            self.start()
+        # most units are a word, or a word and a mark: these are cut without the regular expression
+        if unit.isalpha():
+            n = self.tokens_of(" " + unit)
+        elif unit[-1] in MARKS and unit[:-1].isalpha():
+            n = self[unit[:-1]] + self.tokens_of(unit[-1])
+        else:
+            n = sum(map(self.tokens_of, self.find(unit if unit[0] == "\n" else " " + unit)))
+        self[unit] = n
         return n
 
+    def ordinary(self, text: str) -> int:
+        """Tokens of a text without special strings."""
+        if not text:
+            return 0
+        if not self.other_space(text):
+            try:
+                # with a line feed before it, the first word is a unit like the others
+                return sum(map(self.__getitem__, f"\n{text}".replace("\n", " \n")[1:].split(" "))) - self.feed
+            except Irregular:
+                pass
+        return sum(map(self.tokens_of, self.find(text)))
+
     def count(self, text: str) -> int:
         """Tokens of a text, special strings in it handled as the library does by default."""
         if not self.plain or self.odd(text):
@@ -98,7 +142,14 @@ class Counter(dict):
                 cut = [p.split(s) for p in parts]
                 specials += sum(len(x) - 1 for x in cut)
                 parts = [y for x in cut for y in x]
-        return specials + sum(sum(map(self.__getitem__, self.find(p))) for p in parts)
+        return specials + sum(map(self.ordinary, parts))
+
+
+def letters_of(piece: str, letters: dict[int, str]) -> str:
+    """A pre-token as the byte-level vocabulary spells it."""
+    if piece.isascii() and piece.isprintable():
+        return piece.replace(" ", letters[0x20])
+    return "".join(map(letters.__getitem__, piece.encode()))
 
 
 _COUNTERS: dict[str, Counter] = {}
