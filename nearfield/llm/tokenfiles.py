@@ -28,14 +28,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import partitions_of, shared_dir
 from .batches import as_bytes
-from .tokencount import AGREED, REMEMBERED
+from .tokencount import AGREED, MARKS, REMEMBERED, byte_letters, letters_of
 
 #: How the word tokenizer cuts a normalised text.
 WORD_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Encoder(dict):
-    """Pre-token to its ids, as little-endian bytes."""
+    """What stands between white space to its ids, as little-endian bytes.
+
+    No pre-token holds white space, so a text's ids are those of its words.
+    """
 
     def __init__(self, path: str):
         import regex
@@ -45,6 +48,7 @@ class Encoder(dict):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         self.special = {t["content"]: struct.pack("<I", t["id"]) for t in said.get("added_tokens", [])}
@@ -52,24 +56,35 @@ class Encoder(dict):
         pre = (said.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.plain = kinds == ["NFC", "Replace", "Lowercase"] and pre[0].get("type") == "Split" and pre[0]["pattern"].get("Regex") == WORD_PIECE
         self.find = regex.compile(WORD_PIECE).findall
-        # final sigma is lower-cased by its place in Python, and by itself in the library
-        self.odd = regex.compile(f"[^{AGREED}]|Σ").search
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda t: [t]
+        # final sigma is lower-cased by its place in Python, and by itself in the library;
+        # the four separators are white space for Python alone
+        self.odd = regex.compile(f"[^{AGREED}]|[Σ\x1c-\x1f]").search
+        self.letters = byte_letters()
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        out = self[piece] = self.whole(piece)
+        # most words are letters, or letters and a mark: these are cut without the regular expression
+        if word.isalpha():
+            ids = [t.id for t in self.model.tokenize(letters_of(word, self.letters))]
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        elif word[-1] in MARKS and word[:-1].isalpha():
+            out = self[word[:-1]] + self[word[-1]]
+        else:
+            ids = [t.id for piece in self.find(word) for t in self.model.tokenize(letters_of(piece, self.letters))]
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = out
         return out
 
     def ids(self, text: str) -> bytes:
         if not self.plain or self.odd(text) or not unicodedata.is_normalized("NFC", text):
             return self.whole(text)
-        parts = self.cut(text)
-        return b"".join(self.special.get(p) or b"".join(map(self.__getitem__, self.find(p.lower()))) for p in parts)
+        parts = self.cut(text) if any(s in text for s in self.special) else [text]
+        return b"".join(self.special.get(p) or b"".join(map(self.__getitem__, p.lower().split())) for p in parts)
 
 
 _ENCODERS: dict[str, Encoder] = {}
