@@ -27,8 +27,8 @@ their ids, made by an aggregation, picks them in the scan.
 
 Defined results: a null or empty text, and one without words, has an empty set
 and is linked with nothing; with fewer than k words the whole sequence is one
-shingle; null ids are linked like others but never name a component unless all
-its ids are null; repeated rows each give a row.
+shingle; a row with a null id belongs to the component of its equals, if one of
+them has an id, and else has none; repeated rows each give a row.
 """
 
 from __future__ import annotations
@@ -298,8 +298,11 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
 def near_duplicate_filter(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group: those that name their component, with all their columns.
 
-    Of rows with one id and equal columns, one stays.
+    Rows of one id with equal texts fall together; rows with a null id, which
+    no component can name, all stay.
     """
+    key = F.col(f"`{id_col}`")
     names = jaccard_components(docs, k=k, percent=percent, id_col=id_col, text_col=text_col)
-    keep = names.where(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{id_col}`").alias("__id")).distinct()
-    return docs.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
+    keep = names.where(key == F.col("component_id")).select(key).distinct()
+    kept = docs.where(key.isNotNull()).join(keep, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(key.isNull()))
