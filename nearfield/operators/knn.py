@@ -83,7 +83,7 @@ def search_batch(
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
         rows = sorted(part.collect(), key=lambda r: str(r["query_id"]))
         names = [r["query_id"] for r in rows]
-        matrix = np.array([r["query_vector"] for r in rows], np.float64).reshape(len(rows), -1)
+        matrix = np.array([r["query_vector"] for r in rows], np.float64).reshape(len(rows), dim)
         found = _one_block(docs.select(key, vector), spark.sparkContext.broadcast((names, matrix)), schema, k, metric, exclude_same)
         out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("query_id").orderBy("distance", key)
