@@ -33,7 +33,8 @@ def corpus_stats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 def term_frequencies(docs: DataFrame, key: str = "key", text: str = "text", **options) -> DataFrame:
     """(key, term, tf), counted inside each document's own array before anything is shuffled."""
     t = X.tokens(F.col(text), **options)
-    counted = docs.select(key, F.size(t).alias("dl"), F.explode(t).alias("term"))
+    # the length goes through the explode beside each token; a column beside it would be computed for each token
+    counted = docs.select(key, F.inline(F.arrays_zip(t, F.array_repeat(F.size(t), F.size(t)))).alias("term", "dl"))
     return counted.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
 
 
