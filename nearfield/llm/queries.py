@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import chat, decontaminate, jaccard, licenses, packing, quality, tokencount, tokenfiles, toxicity, warc
+from . import chat, decontaminate, jaccard, licenses, oracles, packing, quality, tokencount, tokenfiles, toxicity, warc
 
 
 def tokenizer(name: str) -> str:
@@ -79,4 +79,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_decontaminate, op2_toxicity, op3_licenses, op4_packing, op5_token_counts, op6_token_files, op7_quality, op8_warc, op9_chat, op10_jaccard)
 }
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
