@@ -115,3 +115,34 @@ def gateway(requests: DataFrame, keys: DataFrame, *, max_vectors: int | None = N
         .otherwise(200)
     )
     return r.select("seq", "tenant", status.alias("status"))
+
+
+def create_key(keys: DataFrame, tenant: str, secret: str, created_at: int, **limits: int | None) -> DataFrame:
+    """The keys with one more; a key that exists already is an error."""
+    if keys.where(F.col("key") == secret).limit(1).count():
+        raise ValueError("already_exists")
+    row = [(secret, tenant, created_at, limits.get("rpm_limit"), limits.get("max_vectors"), limits.get("max_collections"), limits.get("max_storage_mb"))]
+    one = keys.sparkSession.createDataFrame(row, KEYS)
+    return keys.unionByName(one, allowMissingColumns=True)
+
+
+def revoke_key(keys: DataFrame, secret: str) -> DataFrame:
+    """The keys without one; revoking twice changes nothing."""
+    return keys.where(F.col("key") != secret)
+
+
+def validate(requests: DataFrame, keys: DataFrame) -> DataFrame:
+    """Requests with their key's tenant and limits (defaults where the key sets none); unknown keys have null."""
+    known = keys.select("key", "tenant_id", *[F.coalesce(c, F.lit(DEFAULTS[c])).alias(c) for c in ("rpm_limit", "max_vectors", "max_collections") if c in keys.columns])
+    return requests.join(known, "key", "left")
+
+
+#: The schema of a table of keys.
+KEYS = "key string, tenant_id string, created_at long, rpm_limit int, max_vectors int, max_collections int, max_storage_mb int"
+
+
+def usage(collections: DataFrame, documents: DataFrame, *, tenant: str = "tenant", collection: str = "collection", size: str = "bytes") -> DataFrame:
+    """Each tenant's collections, vectors and bytes, counted from the data itself."""
+    n = collections.groupBy(tenant).agg(F.countDistinct(collection).alias("collections"))
+    v = documents.groupBy(tenant).agg(F.count("*").alias("vectors"), F.sum(size).alias("bytes"))
+    return n.join(v, tenant, "left").select(tenant, "collections", F.coalesce("vectors", F.lit(0)).alias("vectors"), F.coalesce("bytes", F.lit(0)).alias("bytes"))

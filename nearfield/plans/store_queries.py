@@ -236,6 +236,24 @@ def gateway(spark, sf_dir):
     return tenancy.gateway(r, _keys(spark, sf_dir), max_vectors=300)
 
 
+@query(
+    """SELECT o_orderkey AS seq, 't' || c_nationkey AS tenant_id, CASE WHEN c_custkey IS NULL THEN NULL WHEN c_custkey % 3 = 0 THEN CAST(c_custkey % 50 AS INTEGER) ELSE 100 END AS rpm_limit
+       FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 7 <> 0"""
+)
+def validate_keys(spark, sf_dir):
+    """Orders as requests with their customer's key; the keys of every seventh customer are revoked."""
+    alive = _keys(spark, sf_dir).join(table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.md5(F.col("c_custkey").cast("string").cast("binary")).alias("key")), "key", "left_anti")
+    r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.md5(F.col("o_custkey").cast("string").cast("binary")).alias("key"))
+    return tenancy.validate(r, alive).select("seq", "tenant_id", "rpm_limit")
+
+
+@query("SELECT lang AS tenant, count(DISTINCT source) AS collections, count(*) AS vectors, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY lang")
+def tenant_usage(spark, sf_dir):
+    """Languages as tenants, sources as their collections."""
+    d = documents(spark, sf_dir).select(F.col("lang").alias("tenant"), F.col("source").alias("collection"), F.octet_length("text").alias("bytes"))
+    return tenancy.usage(d, d)
+
+
 # figures
 
 

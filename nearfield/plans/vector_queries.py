@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors as V
-from ..operators import graphs, knn, quant, store
+from ..operators import graphs, knn, metrics, quant, store
 from ..session import table
 from .registry import query
 
@@ -231,6 +231,26 @@ def codec_sizes(spark, sf_dir):
     return rows.select("codec", "dimension", size.alias("bytes"), (F.col("dimension") * 4.0 / size).alias("ratio"))
 
 
+@query("SELECT vec_id, 256 AS bytes, TRUE AS same FROM embeddings")
+def vector_binary(spark, sf_dir):
+    """Vectors packed as 32-bit floats and unpacked again."""
+    p = embeddings(spark, sf_dir).select("vec_id", "embedding", quant.pack_column(F.col("embedding")).alias("packed"))
+    return p.select("vec_id", F.octet_length("packed").alias("bytes"), (quant.unpack_column(F.col("packed")) == F.col("embedding")).alias("same"))
+
+
+@query(
+    """WITH c AS (SELECT count(*) AS n FROM embeddings), l AS (SELECT vec_id, count(*) AS d FROM embeddings, c, (VALUES (-2), (-1), (1), (2)) k(k) WHERE vec_id + k >= 0 AND vec_id + k < n GROUP BY vec_id)
+       SELECT round(avg(d), 6) AS average_degree FROM l"""
+)
+def average_degree(spark, sf_dir):
+    """Of a ring-like graph over the vectors, each linked with two neighbours on either side."""
+    e = embeddings(spark, sf_dir).select("vec_id")
+    n = e.agg(F.count("*").alias("n"))
+    around = F.array(*[F.col("vec_id") + k for k in (-2, -1, 1, 2)])
+    graph = e.join(F.broadcast(n)).select(F.filter(around, lambda j: (j >= 0) & (j < F.col("n"))).alias("neighbours"))
+    return metrics.average_degree(graph).withColumn("average_degree", F.round("average_degree", 6))
+
+
 @query()
 def pq_search(spark, sf_dir):
     """Product quantization: candidates by code distance, reranked by the true one."""

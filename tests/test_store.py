@@ -144,6 +144,17 @@ def test_tenants(spark):
     assert tenancy.quota_checks(ops.withColumn("n", F.lit(1)), None).where("allowed").count() == 3
 
 
+def test_key_lifecycle(spark):
+    keys = spark.createDataFrame([], tenancy.KEYS)
+    keys = tenancy.create_key(keys, "t", "secret", 1, rpm_limit=7)
+    with pytest.raises(ValueError, match="already_exists"):
+        tenancy.create_key(keys, "u", "secret", 2)
+    asked = spark.createDataFrame([("secret",), ("other",)], "key string")
+    got = {r["key"]: (r["tenant_id"], r["rpm_limit"], r["max_vectors"]) for r in tenancy.validate(asked, keys).collect()}
+    assert got == {"secret": ("t", 7, 100_000), "other": (None, None, None)}
+    assert tenancy.revoke_key(tenancy.revoke_key(keys, "secret"), "secret").count() == 0
+
+
 def test_compare_runs(spark):
     make = lambda x: spark.createDataFrame([("a", 100.0 * x, 1.0), ("b", 100.0, 1.0 / x), ("c", 100.0, 1.0)], "name string, ops_per_sec double, p95 double")
     got = {r["name"]: r["verdict"] for r in metrics.compare_runs(make(1.0), make(0.8)).collect()}
