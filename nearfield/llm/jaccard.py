@@ -5,24 +5,23 @@ when 100 * |A & B| >= percent * |A | B|. Every link between different sets is
 found exactly, without all pairs:
 
 1. Equal sets fall together: a *node* is the hash of a whole set.
-2. Nodes are dealt to size bands. A linked pair differs in at most
-   D = (|A| + |B|) (100 - percent) / (100 + percent) shingles, so if the hash
-   space is cut into more than D parts, at least one part is equal in both. The
-   hashes of the parts are the keys under which a pair meets. A part with fewer
-   than two shingles says little; with enough parts above D at least one fuller
-   part is equal too, and the small ones are left out. (A set for which that
-   count fails gives all its parts.)
-3. Nodes that share a key are joined to the first of them, and the components
-   of these candidate links, by size band, are the tiles. So each set moves
-   once (twice at the border of a band), however many keys it shares.
-4. In a tile, bitmaps with a bit for each hashed shingle bound the overlap from
-   above (a bit of A that B lacks is a shingle that B lacks); pairs that pass
-   and aren't connected yet are intersected exactly, as sorted arrays. A tile
-   that outgrows `tile_shingles` is split into blocks, and each pair of blocks
-   is a tile of its own.
+2. In any fixed order of all shingles, two linked sets share one of their first
+   |A| - ceil(percent / 100 * |A|) + 1 shingles: these are a node's keys. The
+   order puts frequent shingles last, so a passage that many documents share
+   hardly ever brings them together.
+3. A bitmap signature of each node (a bit for each hashed shingle, as wide as the
+   set) bounds the overlap of two sets from above: a bit of A that B lacks is a
+   shingle that B lacks. Of the nodes that share a key, pairs that pass the bound
+   are candidates; a spanning forest of them is kept, and its components, by
+   size band, are the tiles. So each set moves once (twice at the border of a
+   band), however many keys it shares.
+4. In a tile the bound is taken again with wider bitmaps, and pairs that pass and
+   aren't connected yet are intersected exactly, as sorted arrays. A tile that
+   outgrows `tile_shingles` is split into blocks, and each pair of blocks is a
+   tile of its own.
 5. The links of all tiles give the components.
 
-Only documents that share a key have their sets moved: a fixed-size bitmap of
+Only documents of a tile have their sets moved: a fixed-size bitmap of
 their ids, made by an aggregation, picks them in the scan.
 
 Defined results: a null or empty text, and one without words, has an empty set
@@ -41,9 +40,15 @@ from .batches import as_bytes, map_texts
 from .components import connected_components
 from .words import mix, shingle_set
 
+#: Bits of the bitmap of frequent shingles: 2 MB, whatever the input. Any choice is right; a good one is fast.
+HOT_BITS = 1 << 24
+#: One in so many documents is counted to choose frequent shingles, and those in so many of these are.
+HOT_SAMPLE, HOT_LEAST = 16, 3
 #: Bits of the bitmap that picks documents in the last scan: 1 MB, whatever the input.
 PICK_BITS = 1 << 23
 SEEN = 200_000
+#: Refused pairs that a task remembers, so that they aren't compared for every key they share.
+REFUSED = 1_000_000
 
 
 def node_of(s: np.ndarray) -> int:
@@ -73,32 +78,104 @@ class Bands:
         k = self.own(size)
         return [k, k + 1] if 100 * size >= self.percent * self.edges[k + 1] else [k]
 
-    def differ(self, band: int) -> int:
-        """The most shingles in which two linked sets of this band's tiles can differ."""
-        return 2 * (self.edges[band + 1] - 1) * (100 - self.percent) // (100 + self.percent)
 
-    def parts(self, band: int) -> int:
-        d = self.differ(band)
-        per = self.edges[band] / (d + 1)
-        few = (1 + per) * np.exp(-per)  # share of parts with fewer than two shingles
-        return d + 1 + int(np.ceil(1.6 * few * (d + 1))) + 2
-
-
-def keys_of(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The keys under which a sorted set meets its partners, for all its bands."""
-    out = []
-    total = np.concatenate(([np.uint64(0)], np.cumsum(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))))
-    for band in bands.of(len(s)):
-        m = bands.parts(band)
-        at = np.searchsorted(s, (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64))
-        at = np.concatenate(([0], at, [len(s)]))
-        sums, sizes = total[at[1:]] - total[at[:-1]], np.diff(at)
-        name = mix(np.arange(m, dtype=np.uint64) + np.uint64(band << 32))
-        keys = mix(mix(sums + name) + sizes.astype(np.uint64))
-        if (sizes < 2).sum() < m - bands.differ(band):
-            keys = keys[sizes >= 2]
-        out.append(keys)
-    return np.concatenate(out).view(np.int64)
+def is_hot(s: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
+    """Which shingles the bitmap of frequent ones holds."""
+    if hot is None:
+        return np.zeros(len(s), bool)
+    bit = s & np.uint64(64 * len(hot) - 1)
+    return ((hot[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def keys_of(s: np.ndarray, percent: int, hot: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a set, in the order that puts frequent ones last."""
+    n = len(s)
+    first = n - -(-percent * n // 100) + 1
+    order = np.lexsort((mix(s), is_hot(s, hot)))
+    return s[order[:first]].view(np.int64)
+
+
+def signature(s: np.ndarray) -> bytes:
+    """A bitmap with about as many bits as the set has shingles (64 to 8192, a power of two)."""
+    width = min(8192, max(64, 1 << (len(s) - 1).bit_length()))
+    bits = np.zeros(width, np.uint8)
+    bits[((mix(s) >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+class Signature:
+    """A set's size and bitmap, comparable at the narrower of two widths."""
+
+    __slots__ = ("size", "width", "bits")
+
+    def __init__(self, size: int, data: bytes):
+        self.size, self.width, self.bits = size, 8 * len(data), int.from_bytes(data, "little")
+
+    def narrow(self, width: int) -> int:
+        bits, at = self.bits, self.width
+        while at > width:
+            at //= 2
+            bits = (bits >> at) | (bits & ((1 << at) - 1))
+        return bits
+
+    def may_link(self, other: Signature, percent: int) -> bool:
+        """False only if the two sets can't link."""
+        a, b = self.size, other.size
+        if 100 * min(a, b) < percent * max(a, b):
+            return False
+        width = min(self.width, other.width)
+        x, y = self.narrow(width), other.narrow(width)
+        both = (x & y).bit_count()
+        bound = min(a - x.bit_count() + both, b - y.bit_count() + both)
+        return (100 + percent) * bound >= percent * (a + b)
+
+
+class Forest:
+    """Union-find over nodes, with the pairs that have been refused."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+        self.refused: set[tuple[int, int]] = set()
+
+    def find(self, x: int) -> int:
+        p = self.parent
+        while (up := p.get(x, x)) != x:
+            p[x] = p.get(up, up)
+            x = up
+        return x
+
+    def candidates(self, group: list[tuple[int, Signature]], percent: int) -> list[tuple[int, int]]:
+        """Joins the nodes of a key that may link and aren't joined yet; returns the new edges."""
+        by: dict[int, list[tuple[int, Signature]]] = {}
+        for node, sig in group:
+            by.setdefault(self.find(node), []).append((node, sig))
+        if len(by) < 2:
+            return []
+        out, rest = [], sorted(by.values(), key=len, reverse=True)
+        done: list[list[tuple[int, Signature]]] = []
+        for members in rest:
+            for other in done:
+                if self.find(members[0][0]) == self.find(other[0][0]):
+                    continue
+                if edge := self._first(members, other, percent):
+                    out.append(edge)
+                    x, y = sorted((self.find(edge[0]), self.find(edge[1])))
+                    self.parent[y] = x
+            done.append(members)
+        return out
+
+    def _first(self, members, other, percent: int) -> tuple[int, int] | None:
+        for a, x in members:
+            for b, y in other:
+                pair = (a, b) if a < b else (b, a)
+                if pair in self.refused:
+                    continue
+                if x.may_link(y, percent):
+                    return pair
+                if len(self.refused) >= REFUSED:
+                    self.refused.clear()
+                self.refused.add(pair)
+        return None
 
 
 def links_in_tile(nodes: np.ndarray, sets: list[np.ndarray], percent: int, home: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -145,6 +222,15 @@ def links_in_tile(nodes: np.ndarray, sets: list[np.ndarray], percent: int, home:
     return out
 
 
+def _bitmap(bits: DataFrame, size: int) -> np.ndarray:
+    """A bitmap of the values in bit (from 0 to below size), gathered as at most size / 64 rows."""
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    out = np.zeros(size // 64, np.int64)
+    got = words.toPandas()
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return out
+
+
 def _columns(rows: list[tuple], types) -> list:
     import pyarrow as pa
 
@@ -164,11 +250,32 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
     def measure():
         def score(texts):
             sets = [shingle_set(t, k) for t in texts]
-            return [[len(s) for s in sets], [node_of(s) if len(s) else None for s in sets]]
+            return [[len(s) for s in sets], [node_of(s) if len(s) else None for s in sets], [signature(s) if len(s) else None for s in sets]]
 
         return score
 
-    sized = map_texts(source, [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())], measure).checkpoint()
+    sized = map_texts(source, [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("signature", T.BinaryType())], measure).checkpoint()
+
+    def emit_sampled(batches):
+        import pyarrow as pa
+
+        seen: set[int] = set()
+        for b in batches:
+            found = []
+            for t in as_bytes(b.column(0)):
+                s = shingle_set(t, k)
+                if not len(s) or (node := node_of(s)) in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
+                found.append(s.view(np.int64))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["shingle"])
+
+    sampled = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0).select("text")
+    frequent = sampled.mapInArrow(emit_sampled, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_LEAST)
+    hot = spark.sparkContext.broadcast(_bitmap(frequent.select(F.col("shingle").bitwiseAND(F.lit(HOT_BITS - 1)).alias("bit")), HOT_BITS).view(np.uint64))
 
     def emit_keys(batches):
         import pyarrow as pa
@@ -183,7 +290,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(node)
-                got = keys_of(s, bands)
+                got = keys_of(s, percent, hot.value)
                 keys.append(got)
                 nodes.append(np.full(len(got), node, np.int64))
                 if sum(map(len, keys)) >= 200_000:
@@ -192,31 +299,52 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
 
-    def to_first(batches):
-        """Rows come in order of (key, node): each node of a key goes to the key's first."""
+    def shared(batches):
+        """Rows come in order of (key, node): those of keys with two nodes or more."""
         import pyarrow as pa
 
-        last_key = first = None
+        key, node, before = np.empty(0, np.int64), np.empty(0, np.int64), False
         for b in batches:
-            key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if not len(key):
+            key, node = np.concatenate((key, b.column(0).to_numpy())), np.concatenate((node, b.column(1).to_numpy()))
+            if len(key) < 2:
                 continue
-            new = np.concatenate(([key[0] != last_key], key[1:] != key[:-1]))
-            heads = np.where(new, np.arange(len(key)), -1)
-            heads = np.maximum.accumulate(heads)
-            firsts = np.where(heads >= 0, node[np.maximum(heads, 0)], first if first is not None else 0)
-            last_key, first = key[-1], firsts[-1]
-            off = firsts != node
-            if off.any():
-                pairs = np.unique(np.stack([node[off], firsts[off]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+            key, node = key[new], node[new]
+            same = np.concatenate(([before], key[1:] == key[:-1]))
+            on = same[:-1] | same[1:]
+            if on.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[:-1][on]), pa.array(node[:-1][on])], names=["key", "node"])
+            key, node, before = key[-1:], node[-1:], bool(same[-1])  # what follows decides about the last
+        if before:
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
+
+    def candidates(batches):
+        """Rows come in order of key: edges between nodes that may link."""
+        import pyarrow as pa
 
-    met = source.select("text").mapInArrow(emit_keys, "key long, node long")
-    met = met.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(to_first, "a long, b long")
-    tiles = connected_components(met).checkpoint()
+        forest, now, group = Forest(), None, []
+        for b in batches:
+            rows: list[tuple[int, int]] = []
+            for key, node, size, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if key != now:
+                    if len(group) > 1:
+                        rows += forest.candidates(group, percent)
+                    now, group = key, []
+                group.append((node, Signature(size, data)))
+            if rows:
+                yield pa.RecordBatch.from_arrays(_columns(rows, [pa.int64(), pa.int64()]), names=["a", "b"])
+        if len(group) > 1 and (rows := forest.candidates(group, percent)):
+            yield pa.RecordBatch.from_arrays(_columns(rows, [pa.int64(), pa.int64()]), names=["a", "b"])
 
     # one document of each node, and the size of the node's set
     nodes = sized.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"))
+    signatures = sized.where("node IS NOT NULL").groupBy("node").agg(F.min("n_shingles").alias("size"), F.min("signature").alias("signature"))
+    met = source.select("text").mapInArrow(emit_keys, "key long, node long")
+    met = met.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(shared, "key long, node long")
+    met = met.join(signatures, "node").select("key", "node", "size", "signature")
+    met = met.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(candidates, "a long, b long")
+    tiles = connected_components(met).checkpoint()
+
     members = tiles.join(nodes, "node").select("node", F.col("root").alias("tile"), "doc_id", "size")
     edges = F.array(*[F.lit(e) for e in bands.edges])
     own = F.size(F.filter(edges, lambda e: e <= F.col("size"))) - 1
@@ -231,12 +359,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("doc_id", "node", "tile", "band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
 
-    pick = members.select(F.pmod(F.xxhash64("doc_id"), F.lit(PICK_BITS)).alias("bit")).distinct()
-    pick = pick.groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    bitmap = np.zeros(PICK_BITS // 64, np.int64)
-    for r in pick.collect():  # at most PICK_BITS / 64 rows
-        bitmap[r["word"]] = r["bits"]
-    chosen = spark.sparkContext.broadcast(bitmap)
+    chosen = spark.sparkContext.broadcast(_bitmap(members.select(F.pmod(F.xxhash64("doc_id"), F.lit(PICK_BITS)).alias("bit")), PICK_BITS))
 
     def sets_of_chosen(batches):
         import pyarrow as pa
@@ -291,7 +414,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
     classes = nodes.join(linked, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     names = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = classes.join(names, "root").select("node", "component_id")
-    out = sized.join(named, "node", "left")
+    out = sized.drop("signature").join(named, "node", "left")
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
