@@ -44,10 +44,10 @@ def test_columns_stay(stages):
 def test_quality(stages):
     before, after = stages[0]
     want = []
-    for doc, n, chars, _, _, _, bad in brute.op7(pairs(before)):
-        text = dict(pairs(before))[doc]
-        longest = max((len(w.encode()) for w in brute.spaced(text)), default=0)
-        if not (bad or n > 100_000 or longest > 1000 or chars > 12 * n):
+    texts = dict(pairs(before))
+    for doc, n, _, symbols, _, _, bad in brute.op7(pairs(before)):
+        letters = sum(any(c.isalpha() and c.isascii() or ord(c) > 127 for c in w) for w in brute.spaced(texts[doc]))
+        if not (bad or 10 * symbols > n or 10 * letters < 7 * n):
             want.append(doc)
     assert ids(after) == sorted(want)
 
