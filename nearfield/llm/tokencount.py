@@ -32,7 +32,7 @@ AGREED = r"\x00-ͷЀ-ԯؠ-ە -⁯₠-₿　-〩ぁ-ゖ゠-ヾ一-龥가-힣\U0
 #: Marks that are a pre-token of their own behind a word.
 MARKS = frozenset(".,;:!?")
 #: Units a worker remembers; then it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 
 
 def byte_letters() -> dict[int, str]:

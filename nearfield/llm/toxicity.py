@@ -29,7 +29,7 @@ from .batches import as_bytes, map_texts
 from .words import alnum_words
 
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 class Terms(dict):
