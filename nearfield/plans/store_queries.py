@@ -210,7 +210,15 @@ def quota_clamped(spark, sf_dir):
     return tenancy.clamped_usage(ops)
 
 
-@query()
+#: Two requests a minute for each user; a bucket idle for over 300 s starts anew.
+BUCKETS = """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS tenant, event_id AS seq, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+       b AS (SELECT tenant, seq, k, t AS last, 1e0 AS tokens, TRUE AS allowed, 1 AS remaining FROM e WHERE k = 1
+             UNION ALL SELECT tenant, seq, k, CASE WHEN idle OR r >= 1 THEN t ELSE last END, CASE WHEN idle THEN 1e0 WHEN r >= 1 THEN r - 1 ELSE tokens END, idle OR r >= 1, CASE WHEN idle THEN 1 WHEN r >= 1 THEN CAST(floor(r - 1) AS INTEGER) ELSE 0 END
+             FROM (SELECT e.tenant, e.seq, e.k, e.t, b.last, b.tokens, e.t - b.last > 300 AS idle, least(2e0, b.tokens + (e.t - b.last) * 2 / 6e1) AS r FROM b JOIN e ON e.tenant = b.tenant AND e.k = b.k + 1))
+       SELECT tenant, seq, allowed, remaining FROM b"""
+
+
+@query(BUCKETS)
 def token_bucket(spark, sf_dir):
     """Two requests a minute for each user."""
     r = events(spark, sf_dir).select(F.col("user_id").alias("tenant"), F.col("event_id").alias("seq"), "ts")

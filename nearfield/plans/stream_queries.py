@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir, table
 from ..streaming import streams
 from .registry import query
+from .store_queries import BUCKETS
 
 
 def _folder(spark, kind: str) -> str:
@@ -40,7 +41,7 @@ def _to_table(spark, stream, mode: str, kind: str):
     return spark.read.parquet(path).drop("n")
 
 
-@query()
+@query(BUCKETS)
 def stream_rate_limit(spark, sf_dir):
     r = _event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("tenant"), F.col("event_id").alias("seq"), "ts")
     return _to_table(spark, streams.rate_limit(r, 2, expire=False), "append", "rate").drop("batch")

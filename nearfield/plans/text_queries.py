@@ -189,7 +189,13 @@ def hybrid_linear(spark, sf_dir):
     return _hybrid(spark, sf_dir, "linear")
 
 
-@query()
+@query(
+    f"""WITH {_CORPUS}, {_Q}, {_TOK}, {_TF}, s AS (SELECT doc_id, {_SHARD} AS shard, len({_TOKENS}) AS dl FROM documents), st AS (SELECT shard, count(*) AS n, sum(dl) / count(*) AS avgdl FROM s GROUP BY shard),
+        h AS (SELECT tf.doc_id, term, tf, shard, dl FROM tf JOIN s ON tf.doc_id = s.doc_id WHERE term IN ({_terms_sql(QUERY)})), df AS (SELECT shard, term, count(*) AS df FROM h GROUP BY shard, term),
+        sc AS (SELECT h.doc_id, sum({_W}) AS score FROM h JOIN df ON h.shard = df.shard AND h.term = df.term JOIN st ON h.shard = st.shard GROUP BY h.doc_id), {_arms(20)},
+        f AS (SELECT coalesce(lx.doc_id, vx.doc_id) AS doc_id, 0.5 / (60 + coalesce(lx.r, 1000)) + 0.5 / (60 + coalesce(vx.r, 1000)) AS score FROM lx FULL JOIN vx ON lx.doc_id = vx.doc_id)
+        SELECT doc_id, round(score, 6) AS score FROM f ORDER BY round(f.score, 9) DESC, doc_id LIMIT 10"""
+)
 def hybrid_sharded(spark, sf_dir):
     rows = corpus(spark, sf_dir).withColumn("shard", X.shard_for_key(F.col("doc_id"), 4))
     return _rounded(fusion.search_hybrid_sharded(rows, QUERY, vector_of(spark, sf_dir), 10, key="doc_id", vector="embedding"))
