@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def _text(text: Column, lowercase: bool) -> Column:
+    t = F.coalesce(text, F.lit(""))
+    return F.lower(t) if lowercase else t
+
+
+def _run(min_length: int) -> Column:
+    # a greedy match takes a whole run, and a shorter run matches nowhere
+    return F.lit(f"[a-zA-Z0-9]{{{max(1, min_length)},}}")
+
+
 def tokens(text: Column, min_length: int = 1, lowercase: bool = True) -> Column:
     """Runs of ASCII letters and digits, lower-cased (by Unicode's rules) before the cut."""
-    t = F.lower(text) if lowercase else text
-    return F.filter(F.split(F.coalesce(t, F.lit("")), "[^a-zA-Z0-9]+"), lambda x: F.length(x) >= max(1, min_length))
+    return F.regexp_extract_all(_text(text, lowercase), _run(min_length), F.lit(0))
+
+
+def token_count(text: Column, min_length: int = 1, lowercase: bool = True) -> Column:
+    """How many tokens there are, without making them."""
+    return F.regexp_count(_text(text, lowercase), _run(min_length)).cast("long")
+
+
+def tokens_among(text: Column, terms: list[str], lowercase: bool = True) -> Column:
+    """The tokens that are one of the given terms, in one pass over the text."""
+    one = "|".join(sorted(terms))  # terms are letters and digits
+    return F.regexp_extract_all(_text(text, lowercase), F.lit(f"(?<![a-zA-Z0-9])(?:{one})(?![a-zA-Z0-9])"), F.lit(0))
 
 
 def idf(n: Column, df: Column) -> Column:

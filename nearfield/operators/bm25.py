@@ -20,12 +20,12 @@ def query_terms(query: str, min_length: int = 1, lowercase: bool = True) -> list
 
 
 def doc_lengths(docs: DataFrame, key: str = "key", text: str = "text", **options) -> DataFrame:
-    return docs.select(key, F.size(X.tokens(F.col(text), **options)).cast("long").alias("dl"))
+    return docs.select(key, X.token_count(F.col(text), **options).alias("dl"))
 
 
 def corpus_stats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """One row: n, total_tokens, avgdl. Documents without tokens count in n."""
-    dl = docs.select(F.size(X.tokens(F.col(text), **options)).cast("long").alias("dl"))
+    dl = docs.select(X.token_count(F.col(text), **options).alias("dl"))
     n, total = F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))
     return dl.agg(n.alias("n"), total.alias("total_tokens"), F.when(n > 0, total / n).otherwise(0.0).alias("avgdl"))
 
@@ -34,7 +34,8 @@ def term_frequencies(docs: DataFrame, key: str = "key", text: str = "text", **op
     """(key, term, tf), counted inside each document's own array before anything is shuffled."""
     t = X.tokens(F.col(text), **options)
     # the length goes through the explode beside each token; a column beside it would be computed for each token
-    counted = docs.select(key, F.inline(F.arrays_zip(t, F.array_repeat(F.size(t), F.size(t)))).alias("term", "dl"))
+    found = docs.select(key, t.alias("tokens"))
+    counted = found.select(key, F.inline(F.arrays_zip("tokens", F.array_repeat(F.size("tokens"), F.size("tokens")))).alias("term", "dl"))
     return counted.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
 
 
@@ -43,12 +44,11 @@ def document_frequencies(docs: DataFrame, text: str = "text", **options) -> Data
 
 
 def matching(docs: DataFrame, terms: Iterable[str], keys: list[str], text: str = "text", **options) -> DataFrame:
-    """(keys, dl, term, tf) for the given terms only: other tokens go before the explode."""
-    wanted = F.array(*[F.lit(t) for t in terms])
-    t = X.tokens(F.col(text), **options)
-    kept = docs.select(*keys, F.size(t).cast("long").alias("dl"), F.filter(t, lambda x: F.array_contains(wanted, x)).alias("hits"))
-    each = kept.where(F.size("hits") > 0).select(*keys, "dl", "hits", F.explode(F.array_distinct("hits")).alias("term"))
-    return each.select(*keys, "dl", "term", F.size(F.filter("hits", lambda x: x == F.col("term"))).cast("long").alias("tf"))
+    """(keys, dl, term, tf) for the given terms only: other tokens are never made."""
+    lowercase = options.get("lowercase", True)
+    hits = X.tokens_among(F.col(text), list(terms), lowercase)
+    each = docs.select(*keys, X.token_count(F.col(text), **options).alias("dl"), hits.alias("hits"))
+    return each.select(*keys, "dl", F.explode("hits").alias("term")).groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def search(docs: DataFrame, query: str, k: int = 10, *, key: str = "key", text: str = "text", k1: float = 1.2, b: float = 0.75, **options) -> DataFrame:
@@ -112,7 +112,8 @@ def encode(docs: DataFrame, query: str, *, text: str = "text", k1: float = 1.2,
     if not counts:
         return spark.createDataFrame([], "term string, weight double")
     frame = spark.createDataFrame([(t, n, sum(counts.values())) for t, n in counts.items()], "term string, tf long, dl long")
-    df = matching(docs, list(counts), [], text).groupBy("term").agg(F.count("*").alias("df"))
+    held = docs.select(F.explode(F.array_distinct(X.tokens_among(F.col(text), list(counts)))).alias("term"))
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
     n = F.greatest(F.col("n"), F.lit(1))
     joined = frame.join(df, "term", "left").join(F.broadcast(corpus_stats(docs, text)))
     return joined.select("term", (X.idf(n, F.coalesce("df", F.lit(1))) * X.weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("weight"))
@@ -122,7 +123,7 @@ def search_sharded(docs: DataFrame, query: str, k: int = 10, *, shard: str = "sh
     """Each shard ranks by its own statistics and gives 2k; duplicates keep the higher score; then the k best."""
     terms = query_terms(query)
     hits = matching(docs, terms, [shard, key], text)
-    stats = docs.select(shard, F.size(X.tokens(F.col(text))).cast("long").alias("dl")).groupBy(shard).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    stats = docs.select(shard, X.token_count(F.col(text)).alias("dl")).groupBy(shard).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     scores = _scored(hits, stats, [shard, key], [shard], k1, b).where("score > 0")
     local = Window.partitionBy(shard).orderBy(F.desc(F.round("score", TIE_DIGITS)), key)
     best = scores.withColumn("r", F.row_number().over(local)).where(F.col("r") <= 2 * k).groupBy(key).agg(F.max("score").alias("score"))

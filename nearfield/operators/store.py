@@ -82,7 +82,7 @@ def equals(conditions: dict[str, object], metadata: Column | None = None) -> Col
 
 def stats(docs: DataFrame, *, text: str = "text", vector: str | None = None) -> DataFrame:
     """One row of figures of a collection."""
-    cells = [F.count("*").alias("documents"), F.coalesce(F.sum(F.size(X.tokens(F.col(text)))), F.lit(0)).cast("long").alias("total_tokens"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long").alias("text_bytes")]
+    cells = [F.count("*").alias("documents"), F.coalesce(F.sum(X.token_count(F.col(text))), F.lit(0)).alias("total_tokens"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long").alias("text_bytes")]
     if vector:
         cells += [F.max(F.size(vector)).alias("dimension")]
     return docs.agg(*cells)
