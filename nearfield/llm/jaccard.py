@@ -48,7 +48,9 @@ HOT_SAMPLE, HOT_LEAST = 16, 3
 PICK_BITS = 1 << 23
 SEEN = 200_000
 #: Refused pairs that a task remembers, so that they aren't compared for every key they share.
-REFUSED = 1_000_000
+REFUSED = 200_000
+#: Nodes of a key from which on it isn't compared with other keys' nodes.
+LONG_GROUP = 5_000
 
 
 def node_of(s: np.ndarray) -> int:
@@ -300,10 +302,10 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
 
     def shared(batches):
-        """Rows come in order of (key, node): those of keys with two nodes or more."""
+        """Rows come in order of (key, node): those of keys with two nodes or more, with the key's first node."""
         import pyarrow as pa
 
-        key, node, before = np.empty(0, np.int64), np.empty(0, np.int64), False
+        key, node, before, first = np.empty(0, np.int64), np.empty(0, np.int64), False, 0
         for b in batches:
             key, node = np.concatenate((key, b.column(0).to_numpy())), np.concatenate((node, b.column(1).to_numpy()))
             if len(key) < 2:
@@ -311,12 +313,54 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
             key, node = key[new], node[new]
             same = np.concatenate(([before], key[1:] == key[:-1]))
+            head = np.maximum.accumulate(np.where(same, -1, np.arange(len(key))))
+            firsts = np.where(head >= 0, node[np.maximum(head, 0)], first)
             on = same[:-1] | same[1:]
             if on.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[:-1][on]), pa.array(node[:-1][on])], names=["key", "node"])
-            key, node, before = key[-1:], node[-1:], bool(same[-1])  # what follows decides about the last
+                yield pa.RecordBatch.from_arrays([pa.array(firsts[:-1][on]), pa.array(key[:-1][on]), pa.array(node[:-1][on])], names=["first", "key", "node"])
+            key, node, before, first = key[-1:], node[-1:], bool(same[-1]), firsts[-1]  # what follows decides about the last
         if before:
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(first)]), pa.array(key), pa.array(node)], names=["first", "key", "node"])
+
+    def distinct_groups(batches):
+        """Rows come in order of (first, key, node): of keys with the same nodes, one.
+
+        A near copy shares most of its keys with the same documents, so most
+        groups fall away here. A long group goes on without being compared.
+        """
+        import pyarrow as pa
+
+        seen: set[int] = set()
+        now, group, long = None, [], False
+        out: list[tuple[int, int]] = []
+
+        def close():
+            if group and not long:
+                h = hash(tuple(group))
+                if h not in seen:
+                    seen.add(h)
+                    out.extend((now[1], x) for x in group)
+
+        for b in batches:
+            for first, key, node in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if now is None or key != now[1] or first != now[0]:
+                    close()
+                    if now is None or first != now[0]:
+                        seen.clear()
+                    now, group, long = (first, key), [], False
+                if long:
+                    out.append((key, node))
+                    continue
+                group.append(node)
+                if len(group) >= LONG_GROUP:
+                    out.extend((key, x) for x in group)
+                    group, long = [], True
+            if out:
+                yield pa.RecordBatch.from_arrays(_columns(out, [pa.int64(), pa.int64()]), names=["key", "node"])
+                out.clear()
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays(_columns(out, [pa.int64(), pa.int64()]), names=["key", "node"])
 
     def candidates(batches):
         """Rows come in order of key: edges between nodes that may link."""
@@ -340,7 +384,8 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
     nodes = sized.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"))
     signatures = sized.where("node IS NOT NULL").groupBy("node").agg(F.min("n_shingles").alias("size"), F.min("signature").alias("signature"))
     met = source.select("text").mapInArrow(emit_keys, "key long, node long")
-    met = met.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(shared, "key long, node long")
+    met = met.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(shared, "first long, key long, node long")
+    met = met.repartition(n_parts, "first").sortWithinPartitions("first", "key", "node").mapInArrow(distinct_groups, "key long, node long")
     met = met.join(signatures, "node").select("key", "node", "size", "signature")
     met = met.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(candidates, "a long, b long")
     tiles = connected_components(met).checkpoint()
