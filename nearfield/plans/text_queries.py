@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X
-from ..operators import bm25, fusion, knn
+from ..functions import vectors as V
+from ..operators import bm25, fusion
 from ..session import table
 from .registry import query
 from .vector_queries import _COS, _Q, embeddings, vector_of
@@ -208,7 +209,7 @@ def hybrid_sharded(spark, sf_dir):
 def dedup_keep_max(spark, sf_dir):
     """Hits of two shards with common keys: the higher score stays."""
     e = embeddings(spark, sf_dir)
-    hits = knn.search_vector(e, vector_of(spark, sf_dir), e.count(), key="vec_id", vector="embedding").select("vec_id", "score")
+    hits = e.select("vec_id", V.cosine_similarity(F.col("embedding"), V.literal(vector_of(spark, sf_dir))).alias("score"))
     again = hits.where("vec_id % 2 = 0").withColumn("score", F.col("score") * 0.5)
     return _rounded(fusion.keep_best(fusion.union_hits(hits, again), "vec_id"))
 
