@@ -49,8 +49,10 @@ PICK_BITS = 1 << 23
 SEEN = 200_000
 #: Refused pairs that a task remembers, so that they aren't compared for every key they share.
 REFUSED = 200_000
-#: Nodes of a key from which on it isn't compared with other keys' nodes.
-LONG_GROUP = 5_000
+#: Nodes under all keys of one first node that are gathered before they go on.
+HELD = 200_000
+EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+GROUPS = T.StructType([T.StructField("first", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
 def node_of(s: np.ndarray) -> int:
@@ -233,10 +235,12 @@ def _bitmap(bits: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _columns(rows: list[tuple], types) -> list:
+def _rows(rows: list[tuple], schema: T.StructType):
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    return [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+    kinds = to_arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.field(i).type) for i in range(len(kinds))], schema=kinds)
 
 
 def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", tile_shingles: int = 3_000_000) -> DataFrame:
@@ -323,71 +327,86 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
             yield pa.RecordBatch.from_arrays([pa.array([int(first)]), pa.array(key), pa.array(node)], names=["first", "key", "node"])
 
     def distinct_groups(batches):
-        """Rows come in order of (first, key, node): of keys with the same nodes, one.
+        """Rows come in order of (first, key, node): (first, node, keys), of keys with the same nodes only one.
 
         A near copy shares most of its keys with the same documents, so most
-        groups fall away here. A long group goes on without being compared.
+        keys fall away here, and a node's signature then goes along once for
+        each first node instead of once for each key. What a first node has
+        gathered goes on in pieces if it is much.
         """
-        import pyarrow as pa
-
         seen: set[int] = set()
-        now, group, long = None, [], False
-        out: list[tuple[int, int]] = []
-
-        def close():
-            if group and not long:
-                h = hash(tuple(group))
-                if h not in seen:
-                    seen.add(h)
-                    out.extend((now[1], x) for x in group)
+        now, group = None, []
+        keys_by_node: dict[int, list[int]] = {}
+        held = 0
+        out: list[tuple] = []
+
+        def close_key():
+            nonlocal held
+            h = hash(tuple(group))
+            if h not in seen:
+                seen.add(h)
+                held += len(group)
+                for x in group:
+                    keys_by_node.setdefault(x, []).append(now[1])
+
+        def close_first():
+            nonlocal held
+            out.extend((now[0], node, keys) for node, keys in keys_by_node.items())
+            keys_by_node.clear()
+            held = 0
 
         for b in batches:
             for first, key, node in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if now is None or key != now[1] or first != now[0]:
-                    close()
-                    if now is None or first != now[0]:
-                        seen.clear()
-                    now, group, long = (first, key), [], False
-                if long:
-                    out.append((key, node))
-                    continue
+                    if now is not None:
+                        close_key()
+                        if first != now[0] or held >= HELD:
+                            close_first()
+                        if first != now[0]:
+                            seen.clear()
+                    now, group = (first, key), []
                 group.append(node)
-                if len(group) >= LONG_GROUP:
-                    out.extend((key, x) for x in group)
-                    group, long = [], True
-            if out:
-                yield pa.RecordBatch.from_arrays(_columns(out, [pa.int64(), pa.int64()]), names=["key", "node"])
-                out.clear()
-        close()
+                if len(out) >= 10_000:
+                    yield _rows(out, GROUPS)
+                    out.clear()
+        if now is not None:
+            close_key()
+            close_first()
         if out:
-            yield pa.RecordBatch.from_arrays(_columns(out, [pa.int64(), pa.int64()]), names=["key", "node"])
+            yield _rows(out, GROUPS)
 
     def candidates(batches):
-        """Rows come in order of key: edges between nodes that may link."""
-        import pyarrow as pa
+        """Rows come in order of first node: edges between nodes that share a key and may link."""
+        forest, now = Forest(), None
+        groups: dict[int, list[tuple[int, Signature]]] = {}
+
+        def close():
+            rows = [e for g in groups.values() if len(g) > 1 for e in forest.candidates(g, percent)]
+            groups.clear()
+            return rows
 
-        forest, now, group = Forest(), None, []
         for b in batches:
             rows: list[tuple[int, int]] = []
-            for key, node, size, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if key != now:
-                    if len(group) > 1:
-                        rows += forest.candidates(group, percent)
-                    now, group = key, []
-                group.append((node, Signature(size, data)))
+            for first, node, keys, size, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if first != now:
+                    rows += close()
+                    now = first
+                sig = Signature(size, data)
+                for key in keys:
+                    groups.setdefault(key, []).append((node, sig))
             if rows:
-                yield pa.RecordBatch.from_arrays(_columns(rows, [pa.int64(), pa.int64()]), names=["a", "b"])
-        if len(group) > 1 and (rows := forest.candidates(group, percent)):
-            yield pa.RecordBatch.from_arrays(_columns(rows, [pa.int64(), pa.int64()]), names=["a", "b"])
+                yield _rows(rows, EDGES)
+        if rows := close():
+            yield _rows(rows, EDGES)
 
     # one document of each node, and the size of the node's set
     nodes = sized.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"))
     signatures = sized.where("node IS NOT NULL").groupBy("node").agg(F.min("n_shingles").alias("size"), F.min("signature").alias("signature"))
     met = source.select("text").mapInArrow(emit_keys, "key long, node long")
     met = met.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(shared, "first long, key long, node long")
-    met = met.repartition(n_parts, "first").sortWithinPartitions("first", "key", "node").mapInArrow(distinct_groups, "key long, node long")
-    met = met.join(signatures, "node").select("key", "node", "size", "signature")
-    met = met.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(candidates, "a long, b long")
+    met = met.repartition(n_parts, "first").sortWithinPartitions("first", "key", "node").mapInArrow(distinct_groups, GROUPS)
+    met = met.join(signatures, "node").select("first", "node", "keys", "size", "signature")
+    met = met.repartition(n_parts, "first").sortWithinPartitions("first", "node").mapInArrow(candidates, EDGES)
     tiles = connected_components(met).checkpoint()
 
     members = tiles.join(nodes, "node").select("node", F.col("root").alias("tile"), "doc_id", "size")
@@ -450,9 +469,9 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
                 sets.append(s)
                 home.append(block[i])
             if rows:
-                yield pa.RecordBatch.from_arrays(_columns(rows, [pa.int64(), pa.int64()]), names=["a", "b"])
+                yield _rows(rows, EDGES)
         if now is not None and (rows := close()):
-            yield pa.RecordBatch.from_arrays(_columns(rows, [pa.int64(), pa.int64()]), names=["a", "b"])
+            yield _rows(rows, EDGES)
 
     linked = connected_components(loaded.mapInArrow(link, "a long, b long"))
     # equal sets of one shingle or more are linked with each other in any case
