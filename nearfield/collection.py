@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import embed, vectors as V
 from .operators import bm25, fusion, knn, sharding, store
+from .session import show_package
 from .sources.collections import DOCUMENTS, CollectionSpec, read_documents, write_documents
 
 
@@ -26,6 +27,7 @@ class Collection:
     def __init__(self, spark: SparkSession, path: str, spec: CollectionSpec):
         self.spark, self.path, self.spec = spark, path.rstrip("/"), spec
         self.generation = 0
+        show_package(spark)
         if not self._exists():
             write_documents(spark.createDataFrame([], DOCUMENTS), self._table())
 

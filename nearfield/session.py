@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +24,21 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
     )
 
 
+def show_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it.
+
+    On a cluster whose machines don't share that folder the package is shipped
+    (--py-files), and the extra path does nothing.
+    """
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; a file or a folder of Parquet parts."""
+    show_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
