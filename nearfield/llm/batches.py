@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import show_package
+
 
 def as_bytes(column) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
@@ -15,6 +17,13 @@ def as_bytes(column) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def slices(batches: Iterator, rows: int = 1024) -> Iterator:
+    """Arrow batches in pieces of few rows, so that only a piece is copied to Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def map_texts(
     df: DataFrame,
     fields: list[T.StructField],
@@ -31,6 +40,7 @@ def map_texts(
     way to it; all others are dropped. keep_if names a computed boolean column:
     then only rows where it is true stay, without any of the computed columns.
     """
+    show_package(df.sparkSession)
     names = {f.name.lower() for f in fields}
     kept = [c for c in keep if keep_if or c.lower() not in names]
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text"))
@@ -43,7 +53,7 @@ def map_texts(
         import pyarrow as pa
 
         score = make()
-        for batch in batches:
+        for batch in slices(batches):
             got = score(as_bytes(batch.column(n)))
             new = [pa.array(v, t) for v, t in zip(got, types, strict=True)]
             if mask_at >= 0:

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import partitions_of, shared_dir
-from .batches import as_bytes, map_texts
+from .batches import as_bytes, map_texts, slices
 from .components import connected_components
 from .words import mix, shingle_set
 
@@ -266,7 +266,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
         import pyarrow as pa
 
         seen: set[int] = set()
-        for b in batches:
+        for b in slices(batches):
             found = []
             for t in as_bytes(b.column(0)):
                 s = shingle_set(t, k)
@@ -287,7 +287,7 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
         import pyarrow as pa
 
         seen: set[int] = set()
-        for b in batches:
+        for b in slices(batches):
             keys, nodes = [], []
             for t in as_bytes(b.column(0)):
                 s = shingle_set(t, k)

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .batches import as_bytes, map_texts
+from .batches import as_bytes, map_texts, slices
 from .words import alnum_words
 
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
@@ -154,7 +154,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
         import pyarrow as pa
 
         terms = Terms(bits)
-        for b in batches:
+        for b in slices(batches):
             found = [terms.of(t) for t in as_bytes(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array([f.tobytes() for f in found], pa.binary())], names=["id", "y", "terms"])
 
