@@ -27,12 +27,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import partitions_of, shared_dir
-from .batches import as_bytes
-from .tokencount import AGREED, MARKS, REMEMBERED, byte_letters, letters_of
+from .batches import as_bytes, slices
+from .tokencount import AGREED, MARKS, byte_letters, letters_of
 
 #: How the word tokenizer cuts a normalised text.
 WORD_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Words a worker remembers; then it starts anew.
+REMEMBERED = 900_000
+
 
 class Encoder(dict):
     """What stands between white space to its ids, as little-endian bytes.
@@ -121,23 +124,20 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int,
 
         part, at = TaskContext.get().partitionId(), 0
         e = encoder(tokenizer)
-        for b in batches:
-            texts, step = as_bytes(b.column(1)), 1024
-            for k in range(0, len(texts), step):
-                coded = [(e.ids(t.decode()) if t else b"") + end for t in texts[k : k + step]]
-                sizes = np.array([len(c) // 4 for c in coded], np.int64)
-                offsets = np.concatenate(([0], np.cumsum(sizes)))
-                values = pa.array(np.frombuffer(b"".join(coded), "<i4"))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(k, step), pa.array(np.full(len(coded), part, np.int32)), pa.array(at + offsets[:-1]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)],
-                    names=schema.names,
-                )
-                at += int(offsets[-1])
+        for b in slices(batches):
+            coded = [(e.ids(t.decode()) if t else b"") + end for t in as_bytes(b.column(1))]
+            offsets = np.concatenate(([0], np.cumsum(np.array([len(c) // 4 for c in coded], np.int64))))
+            values = pa.array(np.frombuffer(b"".join(coded), "<i4"))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.full(len(coded), part, np.int32)), pa.array(at + offsets[:-1]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)],
+                names=schema.names,
+            )
+            at += int(offsets[-1])
 
     (
         ordered.mapInArrow(run, schema)
         .write.mode("overwrite")
-        .option("orc.compress", "zstd")
+        .option("orc.compress", "lz4")
         .option("orc.stripe.size", 16 << 20)
         .option("orc.row.index.stride", 1000)
         .option("orc.bloom.filter.columns", "doc_id")
