@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -71,18 +71,13 @@ def search_batch(
     query go on, so the shuffle carries k rows for each query and batch.
     """
     spark = docs.sparkSession
-    first = queries.select(F.size(query_vector).alias("n")).where("n > 0").first()
-    dim = first["n"] if first else 1
-    count = queries.count()
-    blocks = max(1, -(-count * dim // BLOCK_FLOATS))
     queries = queries.select(F.col(query_key).alias("query_id"), F.col(query_vector).alias("query_vector"))
     id_type, key_type = queries.schema["query_id"].dataType, docs.schema[key].dataType
     schema = T.StructType([T.StructField("query_id", id_type), T.StructField(key, key_type), T.StructField("distance", T.DoubleType())])
     out = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        rows = sorted(part.collect(), key=lambda r: str(r["query_id"]))
+    for rows in query_blocks(queries):
         names = [r["query_id"] for r in rows]
+        dim = len(rows[0]["query_vector"]) if rows else 1
         matrix = np.array([r["query_vector"] for r in rows], np.float64).reshape(len(rows), dim)
         found = _one_block(docs.select(key, vector), spark.sparkContext.broadcast((names, matrix)), schema, k, metric, exclude_same)
         out = found if out is None else out.unionByName(found)
@@ -90,6 +85,16 @@ def search_batch(
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def query_blocks(queries: DataFrame) -> Iterator[list]:
+    """Lists of (query_id, query_vector), all queries in blocks of at most about BLOCK_FLOATS; one empty list for no queries."""
+    first = queries.select(F.size("query_vector").alias("n")).where("n > 0").first()
+    dim = first["n"] if first else 1
+    blocks = max(1, -(-queries.count() * dim // BLOCK_FLOATS))
+    for b in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
+        yield sorted(part.collect(), key=lambda r: str(r["query_id"]))
+
+
 def distances(matrix: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     """One row for each query, one column for each row."""
     if metric in ("euclidean", "l2"):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors as V
 from ..operators import graphs, knn, metrics, quant, store
-from ..session import table
+from ..session import shared_dir, table
 from .registry import query
 
 DIMENSION = 64
@@ -285,12 +285,13 @@ def codec_errors(spark, sf_dir):
 
 
 def _graph_recall(kind: str, spark, sf_dir):
+    """Over all vectors, every fiftieth id as a query."""
     e = embeddings(spark, sf_dir)
     shards = graphs.shards_for(e.count())
-    queries = [list(r["embedding"]) for r in e.where("vec_id % 50 = 0").orderBy("vec_id").limit(64).collect()]  # a report over at most 64 queries
-    graph = graphs.build_graph(e, kind, shards=shards, key="vec_id", vector="embedding")
-    found = graphs.search_graph(e, graph, queries, 10, shards=shards, key="vec_id", vector="embedding")
-    asked = spark.createDataFrame(list(enumerate(queries)), "query_id int, query_vector array<double>")
+    asked = e.where("vec_id % 50 = 0 AND embedding IS NOT NULL").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    shared_dir(spark)
+    graph = graphs.build_graph(e, kind, shards=shards, key="vec_id", vector="embedding").checkpoint()  # read by each block of queries, and for the degree
+    found = graphs.search_graph(e, graph, asked, 10, shards=shards, key="vec_id", vector="embedding")
     exact = knn.search_batch(e, asked, 10, key="vec_id", vector="embedding").withColumnRenamed("query_id", "query")
     degree = graph.where("layer = 0").agg(F.avg(F.size("neighbours")).alias("average_degree"), F.count("*").alias("nodes"))
     return knn.recall(found, exact, 10, keys=["query", "vec_id"]).join(F.broadcast(degree))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as V
 from nearfield.operators import graphs, knn, quant
+from nearfield.plans import registry
 
 
 def one(spark, column):
@@ -94,6 +95,24 @@ def test_graph_recall_and_deletes(spark, docs):
     assert all(i >= 50 for _, i in h.search(x[10], 10))
 
 
+@pytest.mark.parametrize("floats", [4_000_000, 8 * 30])
+def test_graph_recall_asks_every_fiftieth_id(spark, tmp_path, monkeypatch, floats):
+    monkeypatch.setattr(knn, "BLOCK_FLOATS", floats)  # one block of queries, or four
+    x = np.random.default_rng(8).normal(size=(120, 8))
+    rows = [(50 * i if i < 100 else 50 * i + 1, v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    asked, plain = [], knn.recall
+
+    def spy(found, exact, k, *, keys):
+        asked.extend(sorted(r["query"] for r in df.select("query").distinct().collect()) for df in (found, exact))
+        return plain(found, exact, k, keys=keys)
+
+    monkeypatch.setattr(knn, "recall", spy)
+    report = registry.QUERIES["vamana_recall"](spark, str(tmp_path)).first()
+    assert asked[0] == asked[1] and len(asked[0]) == 100
+    assert report["nodes"] == 120 and report["recall"] >= 0.9
+
+
 def test_prune_keeps_nearest_and_degree():
     space = graphs.Space(np.array([[0, 0], [1, 0], [1.1, 0], [0, 2.0]]), "euclidean")
     assert graphs.prune(space, 0, [1, 2, 3], 1.2, 8) == [1, 3]
