@@ -5,7 +5,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from nearfield.llm import toxicity
+from nearfield.llm import quality, toxicity
 
 from . import brute
 
@@ -52,6 +52,16 @@ def test_quality(stages):
     assert ids(after) == sorted(want)
 
 
+def test_quality_keeps_clean_labels(spark):
+    """Labelled clean and passing the base rules: none is lost, short texts with numbers (4895, 5706) included."""
+    large = SF.replace("sf0.001", "sf0.1")
+    clean = spark.read.parquet(f"{large}/labels.parquet").where("quality = 1").select("doc_id").distinct()
+    docs = spark.read.parquet(f"{large}/documents.parquet").join(clean, "doc_id", "left_semi")
+    want = ids(quality.quality_filter(docs, quality.POLICIES["v1"]))
+    assert {4895, 5706} <= set(want)
+    assert ids(corpus_pipeline.quality_rules(spark, docs, large)) == want
+
+
 def test_toxicity(spark, stages):
     before, after = stages[1]
     scored = toxicity.score_toxicity(before, spark.read.parquet(f"{SF}/labels.parquet"))
