@@ -113,6 +113,16 @@ def test_graph_recall_asks_every_fiftieth_id(spark, tmp_path, monkeypatch, float
     assert report["nodes"] == 120 and report["recall"] >= 0.9
 
 
+def test_hnsw_query_finds_neighbours_in_clusters(spark, tmp_path):
+    """Layer 0 links clusters hardly at all, so a beam from one entry stays in one of them."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(8, 16))
+    x = centres[np.arange(800) % 8] + 0.1 * rng.normal(size=(800, 16))
+    rows = [(50 * i, v.tolist()) for i, v in enumerate(x)]  # each is a query
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert registry.QUERIES["hnsw_recall"](spark, str(tmp_path)).first()["recall"] >= 0.9
+
+
 def test_prune_keeps_nearest_and_degree():
     space = graphs.Space(np.array([[0, 0], [1, 0], [1.1, 0], [0, 2.0]]), "euclidean")
     assert graphs.prune(space, 0, [1, 2, 3], 1.2, 8) == [1, 3]
