@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import show_package
+from ..session import shared_dir, show_package
+
+#: Bytes of an Arrow batch that are made Python objects at a time, if more than one row has them.
+SLICE_BYTES = 16 << 20
 
 
 def as_bytes(column) -> list[bytes | None]:
@@ -17,11 +21,29 @@ def as_bytes(column) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def slices(batches: Iterator, rows: int = 1024) -> Iterator:
-    """Arrow batches in pieces of few rows, so that only a piece is copied to Python objects at a time."""
+def slices(batches: Iterable, rows: int = 1024, most: int = SLICE_BYTES) -> Iterator:
+    """Arrow batches in pieces of few rows and bytes (one larger row is a piece), so that only a piece is copied to Python objects at a time."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        at = 0
+        while at < b.num_rows:
+            n = min(rows, b.num_rows - at)
+            while n > 1 and b.slice(at, n).nbytes > most:
+                n //= 2
+            yield b.slice(at, n)
+            at += n
+
+
+def fresh_path(spark: SparkSession, kind: str) -> str:
+    """A new folder name under the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, which later steps read instead of computing it again."""
+    path = fresh_path(df.sparkSession, kind)
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def map_texts(
@@ -55,7 +77,7 @@ def map_texts(
         score = make()
         for batch in slices(batches):
             got = score(as_bytes(batch.column(n)))
-            new = [pa.array(v, t) for v, t in zip(got, types, strict=True)]
+            new = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(got, types, strict=True)]
             if mask_at >= 0:
                 yield pa.RecordBatch.from_arrays(batch.columns[:n], names=kept).filter(new[mask_at])
             else:

@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         # large star: both directions; every larger neighbour of u goes to u's smallest
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # as a table of its own, so that the join below can split the rows of a hub
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).checkpoint()
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: every node's smaller neighbours, and itself, go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))

@@ -7,8 +7,8 @@ found exactly, without all pairs:
 1. Equal sets fall together: a *node* is the hash of a whole set.
 2. In any fixed order of all shingles, two linked sets share one of their first
    |A| - ceil(percent / 100 * |A|) + 1 shingles: these are a node's keys. The
-   order puts frequent shingles last, so a passage that many documents share
-   hardly ever brings them together.
+   order puts frequent shingles last, the most frequent ones at the very end, so
+   a passage that many documents share hardly ever brings them together.
 3. A bitmap signature of each node (a bit for each hashed shingle, as wide as the
    set) bounds the overlap of two sets from above: a bit of A that B lacks is a
    shingle that B lacks. Of the nodes that share a key, pairs that pass the bound
@@ -16,48 +16,67 @@ found exactly, without all pairs:
    size band, are the tiles. So each set moves once (twice at the border of a
    band), however many keys it shares.
 4. In a tile the bound is taken again with wider bitmaps, and pairs that pass and
-   aren't connected yet are intersected exactly, as sorted arrays. A tile that
-   outgrows `tile_shingles` is split into blocks, and each pair of blocks is a
-   tile of its own.
+   aren't connected yet are intersected exactly, as sorted arrays.
 5. The links of all tiles give the components.
 
-Only documents of a tile have their sets moved: a fixed-size bitmap of
-their ids, made by an aggregation, picks them in the scan.
+A frequent key and a large tile (one family of near copies may be a third of
+all rows) are dealt in two rounds, so that no task has a whole one:
+
+* First round: each node goes to one block of its group by hash, and a few nodes,
+  the pivots, go to all blocks. What meets in a block is joined there.
+* Second round: only pairs in different components are still open, and one side
+  of such a pair lies outside the group's largest component. Those outside, in
+  chunks, meet every block of the group, pairs already joined aside. So a family
+  costs in proportion to its size, and only groups of many sets that are
+  nowhere near each other cost more (chunks times blocks, in as many tasks).
 
 Defined results: a null or empty text, and one without words, has an empty set
 and is linked with nothing; with fewer than k words the whole sequence is one
-shingle; a row with a null id belongs to the component of its equals, if one of
-them has an id, and else has none; repeated rows each give a row.
+shingle; a row with a null id links like any other, and belongs to the smallest
+id of its component (null if none of it has an id); repeated rows each give a
+row; without documents there are no rows. Very long texts are whole sets like
+others; a slice of rows is cut by bytes, so memory holds one of them at a time.
+Only id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import partitions_of, shared_dir
-from .batches import as_bytes, map_texts, slices
+from .batches import as_bytes, map_texts, slices, written
 from .components import connected_components
 from .words import mix, shingle_set
 
-#: Bits of the bitmap of frequent shingles: 2 MB, whatever the input. Any choice is right; a good one is fast.
-HOT_BITS = 1 << 24
-#: One in so many documents is counted to choose frequent shingles, and those in so many of these are.
-HOT_SAMPLE, HOT_LEAST = 16, 3
-#: Bits of the bitmap that picks documents in the last scan: 1 MB, whatever the input.
+#: Slots of the table of frequent shingles, four bits each: 8 MB, whatever the input. Any table gives the same result; a good one is fast.
+HEAT_SLOTS = 1 << 24
+#: One in so many texts is counted to choose frequent shingles, and those in so many of these are.
+HEAT_SAMPLE, HEAT_LEAST = 16, 3
+#: Texts that hold a shingle of each level, at most about.
+LEVEL_TEXTS = np.array([0, *(HEAT_SAMPLE * HEAT_LEAST * 4**i for i in range(1, 16))], np.float64)
+#: Least and largest number of nodes in a block, and nodes expected to go to all blocks of a group.
+BLOCK_LEAST, BLOCK_MOST, PIVOTS = 256, 8192, 16
+#: Into how many blocks the nodes of a key are dealt, by the level of the key.
+LEVEL_BLOCKS = np.maximum(1, LEVEL_TEXTS / np.clip(LEVEL_TEXTS / 64, BLOCK_LEAST, BLOCK_MOST)).astype(np.int64)
+#: Bits of the bitmap that picks texts in the last scan: 1 MB, whatever the input.
 PICK_BITS = 1 << 23
+#: Nodes, or texts, that a task remembers so that equal ones go on once.
 SEEN = 200_000
 #: Refused pairs that a task remembers, so that they aren't compared for every key they share.
 REFUSED = 200_000
 #: Nodes under all keys of one first node that are gathered before they go on.
 HELD = 200_000
 EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-GROUPS = T.StructType([T.StructField("first", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+MET = T.StructType([T.StructField("first", T.LongType()), T.StructField("key", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("node", T.LongType())])
+GROUPS = T.StructType([T.StructField("first", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
 def node_of(s: np.ndarray) -> int:
     """The hash of a set, as a signed 64-bit integer; different sizes never fall together."""
-    total = mix(s).sum(dtype=np.uint64) + np.uint64(len(s)) * np.uint64(0x9E3779B97F4A7C15)
+    total = (int(mix(s).sum(dtype=np.uint64)) + len(s) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
@@ -70,33 +89,36 @@ def band_edges(percent: int, most: int = 1 << 40) -> list[int]:
     return out
 
 
-class Bands:
-    def __init__(self, percent: int):
-        self.percent, self.edges = percent, band_edges(percent)
-
-    def own(self, size: int) -> int:
-        return int(np.searchsorted(self.edges, size, side="right")) - 1
-
-    def of(self, size: int) -> list[int]:
-        """The band of a size, and the next one if a partner can be there."""
-        k = self.own(size)
-        return [k, k + 1] if 100 * size >= self.percent * self.edges[k + 1] else [k]
-
+def levels_of(s: np.ndarray, heat: np.ndarray | None) -> np.ndarray:
+    """How frequent the table says each shingle is: 0 for rare, then a level for each factor of 4."""
+    if heat is None:
+        return np.zeros(len(s), np.uint8)
+    slot = s & np.uint64(HEAT_SLOTS - 1)
+    return (heat[(slot >> np.uint64(1)).astype(np.int64)] >> ((slot & np.uint64(1)) << np.uint64(2)).astype(np.uint8)) & 15
 
-def is_hot(s: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
-    """Which shingles the bitmap of frequent ones holds."""
-    if hot is None:
-        return np.zeros(len(s), bool)
-    bit = s & np.uint64(64 * len(hot) - 1)
-    return ((hot[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
 
-
-def keys_of(s: np.ndarray, percent: int, hot: np.ndarray | None = None) -> np.ndarray:
-    """The first shingles of a set, in the order that puts frequent ones last."""
+def keys_of(s: np.ndarray, percent: int, heat: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set, in the order that puts frequent ones last, and their levels."""
     n = len(s)
     first = n - -(-percent * n // 100) + 1
-    order = np.lexsort((mix(s), is_hot(s, hot)))
-    return s[order[:first]].view(np.int64)
+    levels = levels_of(s, heat)
+    order = np.lexsort((mix(s), levels))[:first]
+    return s[order], levels[order]
+
+
+def deal_keys(node: int, keys: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, block) of a node: block 0 for keys that aren't split, else from 1 on, and all of them for a pivot."""
+    blocks = LEVEL_BLOCKS[levels]
+    if blocks.max(initial=1) == 1:
+        return keys, np.zeros(len(keys), np.int32)
+    h = int(mix(np.array([node], np.int64).view(np.uint64))[0]) >> 1
+    own = np.where(blocks > 1, 1 + h % blocks, 0)
+    pivot = (blocks > 1) & ((h >> 39) < PIVOTS / np.maximum(LEVEL_TEXTS[levels], 1) * (1 << 24))
+    if not pivot.any():
+        return keys, own.astype(np.int32)
+    all_of = [np.arange(1, b + 1) for b in blocks[pivot]]
+    more = np.repeat(keys[pivot], blocks[pivot])
+    return np.concatenate((keys[~pivot], more)), np.concatenate((own[~pivot], *all_of)).astype(np.int32)
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -182,17 +204,17 @@ class Forest:
         return None
 
 
-def links_in_tile(nodes: np.ndarray, sets: list[np.ndarray], percent: int, home: np.ndarray | None = None) -> list[tuple[int, int]]:
+def links_in_tile(nodes: np.ndarray, sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, roots: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the linked pairs in a tile.
 
-    home: with blocks, the side of each node; then only pairs across count
-    (pairs inside a block have a tile of their own).
+    side: with it only pairs of a node of side 0 and one of side 1 count.
+    roots: the component that each node is known to be in.
     """
     n = len(nodes)
     sizes = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(sizes, kind="stable")
     nodes, sets, sizes = nodes[order], [sets[i] for i in order], sizes[order]
-    home = home[order] if home is not None else None
+    side = side[order] if side is not None else None
     width = 64
     while width < min(4096, 2 * int(sizes.max(initial=1))):
         width *= 2
@@ -201,14 +223,14 @@ def links_in_tile(nodes: np.ndarray, sets: list[np.ndarray], percent: int, home:
         b = (mix(s) >> np.uint64(20)) & np.uint64(width - 1)
         np.bitwise_or.at(bits[i], (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
     ones = np.bitwise_count(bits).sum(1).astype(np.int64)
-    group = np.arange(n)
+    group = np.arange(n) if roots is None else np.unique(roots[order], return_inverse=True)[1]
     out = []
     for i in range(n):
         end = int(np.searchsorted(sizes, 100 * sizes[i] // percent, side="right"))
         js = np.arange(i + 1, end)
         js = js[group[js] != group[i]]
-        if home is not None and len(js):
-            js = js[home[js] != home[i]]
+        if side is not None and len(js):
+            js = js[side[js] != side[i]]
         if not len(js):
             continue
         for at in range(0, len(js), 8192):
@@ -226,6 +248,21 @@ def links_in_tile(nodes: np.ndarray, sets: list[np.ndarray], percent: int, home:
     return out
 
 
+def candidates_across(here: list[tuple[int, int, Signature]], rest: list[tuple[int, int, Signature]], percent: int) -> list[tuple[int, int]]:
+    """Edges between (node, root, signature) of both sides that may link, one for each pair of components that they join."""
+    forest, out = Forest(), []
+    here = sorted(here, key=lambda x: x[2].size)
+    sizes = [x[2].size for x in here]
+    for node, root, sig in rest:
+        low, high = bisect_left(sizes, -(-percent * sig.size // 100)), bisect_right(sizes, 100 * sig.size // percent)
+        for other, its, x in here[low:high]:
+            a, b = forest.find(root), forest.find(its)
+            if a != b and sig.may_link(x, percent):
+                out.append((node, other))
+                forest.parent[max(a, b)] = min(a, b)
+    return out
+
+
 def _bitmap(bits: DataFrame, size: int) -> np.ndarray:
     """A bitmap of the values in bit (from 0 to below size), gathered as at most size / 64 rows."""
     words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
@@ -243,26 +280,10 @@ def _rows(rows: list[tuple], schema: T.StructType):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.field(i).type) for i in range(len(kinds))], schema=kinds)
 
 
-def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", tile_shingles: int = 3_000_000) -> DataFrame:
-    """id, n_shingles and component_id (the smallest id that links reach) for each document."""
-    if not 67 <= percent <= 100:
-        raise ValueError("percent must be from 67 to 100")
-    spark = docs.sparkSession
-    shared_dir(spark)
-    bands, n_parts = Bands(percent), partitions_of(spark)
-    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    id_type = source.schema["doc_id"].dataType
-
-    def measure():
-        def score(texts):
-            sets = [shingle_set(t, k) for t in texts]
-            return [[len(s) for s in sets], [node_of(s) if len(s) else None for s in sets], [signature(s) if len(s) else None for s in sets]]
-
-        return score
-
-    sized = map_texts(source, [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("signature", T.BinaryType())], measure).checkpoint()
+def heat_table(texts: DataFrame, k: int) -> np.ndarray:
+    """The level of each slot, two in a byte, from a sample of the texts; gathered as at most HEAT_SLOTS / 16 rows."""
 
-    def emit_sampled(batches):
+    def emit(batches):
         import pyarrow as pa
 
         seen: set[int] = set()
@@ -275,108 +296,139 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(node)
-                found.append(s.view(np.int64))
+                found.append((s & np.uint64(HEAT_SLOTS - 1)).view(np.int64))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["slot"])
+
+    sample = texts.where(F.pmod("text_hash", F.lit(HEAT_SAMPLE)) == 0).select("text")
+    counted = sample.mapInArrow(emit, "slot long").groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") >= HEAT_LEAST)
+    level = F.least(F.lit(15), 1 + F.floor(F.log(4.0, F.col("n") / HEAT_LEAST)))
+    put = F.expr("shiftleft(level, cast(4 * (slot & 15) as int))")
+    got = counted.select("slot", level.cast("long").alias("level")).groupBy(F.shiftright("slot", 4).alias("word")).agg(F.bit_or(put).alias("levels")).toPandas()
+    out = np.zeros(HEAT_SLOTS // 16, np.int64)
+    out[got["word"].to_numpy(np.int64)] = got["levels"].to_numpy(np.int64)
+    return out.view(np.uint8)
 
-    sampled = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0).select("text")
-    frequent = sampled.mapInArrow(emit_sampled, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_LEAST)
-    hot = spark.sparkContext.broadcast(_bitmap(frequent.select(F.col("shingle").bitwiseAND(F.lit(HOT_BITS - 1)).alias("bit")), HOT_BITS).view(np.uint64))
 
-    def emit_keys(batches):
+def measured(source: DataFrame, k: int, percent: int, heat) -> DataFrame:
+    """For each text its set's size, node and signature, and the node's (key, block).
+
+    Signature and keys are given once in a task for equal sets, so that copies cost nothing further on.
+    """
+    met = T.ArrayType(T.StructType([T.StructField("key", T.LongType(), False), T.StructField("block", T.IntegerType(), False)]))
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("signature", T.BinaryType()), T.StructField("met", met)]
+
+    def make():
         import pyarrow as pa
 
         seen: set[int] = set()
-        for b in slices(batches):
-            keys, nodes = [], []
-            for t in as_bytes(b.column(0)):
+
+        def score(texts):
+            sizes, nodes, signatures, keys, blocks, ends = [], [], [], [], [], [0]
+            for t in texts:
                 s = shingle_set(t, k)
-                if not len(s) or (node := node_of(s)) in seen:
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(node)
-                got = keys_of(s, percent, hot.value)
-                keys.append(got)
-                nodes.append(np.full(len(got), node, np.int64))
-                if sum(map(len, keys)) >= 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
-                    keys, nodes = [], []
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
-
-    def shared(batches):
-        """Rows come in order of (key, node): those of keys with two nodes or more, with the key's first node."""
-        import pyarrow as pa
+                node = node_of(s) if len(s) else None
+                sizes.append(len(s))
+                nodes.append(node)
+                new = node is not None and node not in seen
+                signatures.append(signature(s) if new else None)
+                if new:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(node)
+                    key, block = deal_keys(node, *keys_of(s, percent, heat.value))
+                    keys.append(key.view(np.int64))
+                    blocks.append(block)
+                ends.append(ends[-1] + (len(keys[-1]) if new else 0))
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(keys or [np.empty(0, np.int64)])), pa.array(np.concatenate(blocks or [np.empty(0, np.int32)]))], names=["key", "block"])
+            return [sizes, nodes, signatures, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
 
-        key, node, before, first = np.empty(0, np.int64), np.empty(0, np.int64), False, 0
-        for b in batches:
-            key, node = np.concatenate((key, b.column(0).to_numpy())), np.concatenate((node, b.column(1).to_numpy()))
-            if len(key) < 2:
-                continue
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-            key, node = key[new], node[new]
-            same = np.concatenate(([before], key[1:] == key[:-1]))
-            head = np.maximum.accumulate(np.where(same, -1, np.arange(len(key))))
-            firsts = np.where(head >= 0, node[np.maximum(head, 0)], first)
-            on = same[:-1] | same[1:]
-            if on.any():
-                yield pa.RecordBatch.from_arrays([pa.array(firsts[:-1][on]), pa.array(key[:-1][on]), pa.array(node[:-1][on])], names=["first", "key", "node"])
-            key, node, before, first = key[-1:], node[-1:], bool(same[-1]), firsts[-1]  # what follows decides about the last
-        if before:
-            yield pa.RecordBatch.from_arrays([pa.array([int(first)]), pa.array(key), pa.array(node)], names=["first", "key", "node"])
-
-    def distinct_groups(batches):
-        """Rows come in order of (first, key, node): (first, node, keys), of keys with the same nodes only one.
-
-        A near copy shares most of its keys with the same documents, so most
-        keys fall away here, and a node's signature then goes along once for
-        each first node instead of once for each key. What a first node has
-        gathered goes on in pieces if it is much.
-        """
-        seen: set[int] = set()
-        now, group = None, []
-        keys_by_node: dict[int, list[int]] = {}
+        return score
+
+    return map_texts(source, fields, make, keep=("id", "text_hash"))
+
+
+def shared(batches):
+    """Rows (key, block, node) come in order: those of a key and block with two nodes or more, and all of split keys, with the first node there."""
+    import pyarrow as pa
+
+    key, block, node, before, first = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), False, 0
+
+    def out(f, k, b, n):
+        return pa.RecordBatch.from_arrays([pa.array(f), pa.array(k), pa.array(b), pa.array(n)], names=MET.names)
+
+    for got in batches:
+        key, block, node = (np.concatenate((x, got.column(i).to_numpy())) for i, x in enumerate((key, block, node)))
+        if len(key) < 2:
+            continue
+        other = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
+        new = np.concatenate(([True], other | (node[1:] != node[:-1])))
+        key, block, node = key[new], block[new], node[new]
+        same = np.concatenate(([before], (key[1:] == key[:-1]) & (block[1:] == block[:-1])))
+        head = np.maximum.accumulate(np.where(same, -1, np.arange(len(key))))
+        firsts = np.where(head >= 0, node[np.maximum(head, 0)], first)
+        on = same[:-1] | same[1:] | (block[:-1] > 0)
+        if on.any():
+            yield out(firsts[:-1][on], key[:-1][on], block[:-1][on], node[:-1][on])
+        # what follows decides about the last
+        key, block, node, before, first = key[-1:], block[-1:], node[-1:], bool(same[-1]), firsts[-1]
+    if len(key) and (before or block[0] > 0):
+        yield out(np.array([first if before else node[0]], np.int64), key, block, node)
+
+
+def distinct_groups(batches):
+    """Rows come in order of (first, block, key, node): (first, block, node, keys), of keys with the same nodes only one.
+
+    A near copy shares most of its keys with the same documents, so most keys
+    fall away here, and a node's signature then goes along once for each first
+    node instead of once for each key. What a first node has gathered goes on
+    in pieces if it is much.
+    """
+    seen: set[int] = set()
+    now, group = None, []
+    keys_by_node: dict[int, list[int]] = {}
+    held = 0
+    out: list[tuple] = []
+
+    def close_key():
+        nonlocal held
+        h = hash(tuple(group))
+        if h not in seen:
+            seen.add(h)
+            held += len(group)
+            for x in group:
+                keys_by_node.setdefault(x, []).append(now[2])
+
+    def close_first():
+        nonlocal held
+        out.extend((*now[:2], node, keys) for node, keys in keys_by_node.items())
+        keys_by_node.clear()
         held = 0
-        out: list[tuple] = []
-
-        def close_key():
-            nonlocal held
-            h = hash(tuple(group))
-            if h not in seen:
-                seen.add(h)
-                held += len(group)
-                for x in group:
-                    keys_by_node.setdefault(x, []).append(now[1])
-
-        def close_first():
-            nonlocal held
-            out.extend((now[0], node, keys) for node, keys in keys_by_node.items())
-            keys_by_node.clear()
-            held = 0
-
-        for b in batches:
-            for first, key, node in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if now is None or key != now[1] or first != now[0]:
-                    if now is not None:
-                        close_key()
-                        if first != now[0] or held >= HELD:
-                            close_first()
-                        if first != now[0]:
-                            seen.clear()
-                    now, group = (first, key), []
-                group.append(node)
-                if len(out) >= 10_000:
-                    yield _rows(out, GROUPS)
-                    out.clear()
-        if now is not None:
-            close_key()
-            close_first()
-        if out:
-            yield _rows(out, GROUPS)
-
-    def candidates(batches):
-        """Rows come in order of first node: edges between nodes that share a key and may link."""
+
+    for b in batches:
+        for first, key, block, node in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            if (first, block, key) != now:
+                if now is not None:
+                    close_key()
+                    if (first, block) != now[:2] or held >= HELD:
+                        close_first()
+                    if (first, block) != now[:2]:
+                        seen.clear()
+                now, group = (first, block, key), []
+            group.append(node)
+            if len(out) >= 10_000:
+                yield _rows(out, GROUPS)
+                out.clear()
+    if now is not None:
+        close_key()
+        close_first()
+    if out:
+        yield _rows(out, GROUPS)
+
+
+def candidates_in_block(percent: int):
+    def run(batches):
+        """Rows (first, block, node, keys, size, signature) come in order of first and block: edges between nodes that share a key and may link."""
         forest, now = Forest(), None
         groups: dict[int, list[tuple[int, Signature]]] = {}
 
@@ -385,12 +437,12 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
             groups.clear()
             return rows
 
-        for b in batches:
+        for b in slices(batches, 8192):
             rows: list[tuple[int, int]] = []
-            for first, node, keys, size, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if first != now:
+            for first, block, node, keys, size, data in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if (first, block) != now:
                     rows += close()
-                    now = first
+                    now = (first, block)
                 sig = Signature(size, data)
                 for key in keys:
                     groups.setdefault(key, []).append((node, sig))
@@ -399,97 +451,224 @@ def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col
         if rows := close():
             yield _rows(rows, EDGES)
 
-    # one document of each node, and the size of the node's set
-    nodes = sized.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("size"))
-    signatures = sized.where("node IS NOT NULL").groupBy("node").agg(F.min("n_shingles").alias("size"), F.min("signature").alias("signature"))
-    met = source.select("text").mapInArrow(emit_keys, "key long, node long")
-    met = met.repartition(n_parts, "key").sortWithinPartitions("key", "node").mapInArrow(shared, "first long, key long, node long")
-    met = met.repartition(n_parts, "first").sortWithinPartitions("first", "key", "node").mapInArrow(distinct_groups, GROUPS)
-    met = met.join(signatures, "node").select("first", "node", "keys", "size", "signature")
-    met = met.repartition(n_parts, "first").sortWithinPartitions("first", "node").mapInArrow(candidates, EDGES)
-    tiles = connected_components(met).checkpoint()
-
-    members = tiles.join(nodes, "node").select("node", F.col("root").alias("tile"), "doc_id", "size")
-    edges = F.array(*[F.lit(e) for e in bands.edges])
-    own = F.size(F.filter(edges, lambda e: e <= F.col("size"))) - 1
-    members = members.withColumn("band", own)
-    members = members.withColumn("bands", F.when(F.lit(100) * F.col("size") >= F.lit(percent) * F.element_at(edges, F.col("band") + 2), F.array("band", F.col("band") + 1)).otherwise(F.array("band")))
-    members = members.select("node", "tile", "doc_id", "size", F.explode("bands").alias("band")).checkpoint()
-    weights = members.groupBy("tile", "band").agg(F.sum("size").alias("weight"), F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("weight") / tile_shingles).cast("int")
-    placed = members.join(weights.select("tile", "band", blocks.alias("blocks")), ["tile", "band"])
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # a node meets its own block, and every other block of the tile, once each
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("doc_id", "node", "tile", "band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
-
-    chosen = spark.sparkContext.broadcast(_bitmap(members.select(F.pmod(F.xxhash64("doc_id"), F.lit(PICK_BITS)).alias("bit")), PICK_BITS))
-
-    def sets_of_chosen(batches):
-        import pyarrow as pa
+    return run
+
+
+def by_task(n_group: int, step):
+    """Runs step(rows) for each group of rows that agree in the first n_group columns; rows come in their order."""
+
+    def run(batches):
+        now, held = None, []
+        for b in slices(batches, 8192):
+            out = []
+            for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+                if row[:n_group] != now:
+                    out += step(held)
+                    now, held = row[:n_group], []
+                held.append(row[n_group:])
+            if out:
+                yield _rows(out, EDGES)
+        if out := step(held):
+            yield _rows(out, EDGES)
+
+    return run
+
+
+def block_size(n: Column, weight: Column, most: int) -> Column:
+    """Nodes of a block: a 64th of the group within BLOCK_LEAST and BLOCK_MOST, but no more than most shingles have place for."""
+    return F.greatest(F.lit(1.0), F.least(F.greatest(n / 64, F.lit(float(BLOCK_LEAST))), F.lit(float(BLOCK_MOST)), F.lit(float(most)) * n / weight))
 
-        for b in batches:
-            bit = b.column(1).to_numpy()
-            on = (chosen.value[bit >> 6].view(np.uint64) >> (bit & 63).astype(np.uint64)) & np.uint64(1)
-            picked = b.filter(pa.array(on == 1))
-            for at in range(0, picked.num_rows, 512):
-                part = picked.slice(at, 512)
-                sets = [shingle_set(t, k) for t in as_bytes(part.column(2))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"])
 
-    chosen_schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("shingles", T.BinaryType())])
-    sets = source.where("doc_id IS NOT NULL").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(PICK_BITS)).alias("bit"), "text").mapInArrow(sets_of_chosen, chosen_schema)
-    # ids may be repeated with other texts: the set must be the node's
-    loaded = placed.join(sets, "doc_id").select("tile", "band", "x", "y", "block", "node", "shingles")
-    loaded = loaded.repartition(n_parts, "tile", "band", "x", "y").sortWithinPartitions("tile", "band", "x", "y", "node")
+def second_round(members: DataFrame, by: list[str], most: int) -> DataFrame | None:
+    """Pairs of a group that the first round left in different components, dealt to (by, i, j) with a side.
 
-    def link(batches):
+    members: by, node, root, size, each node of a group once. Of the two sides of
+    a task, side 1 holds a chunk of the nodes outside the group's largest
+    component, and side 0 a block of all its nodes. None if no pair is open.
+    """
+    counts = members.groupBy(*by, "root").agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
+    groups = counts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max(F.struct("n", "root")).alias("main")).where("n > main.n")
+    size = block_size(F.col("n"), F.col("weight"), most)
+    left = written(groups.select(*by, F.col("main.root").alias("main"), F.ceil(F.col("n") / size).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("main.n")) / size).cast("int").alias("chunks")), "open")
+    if left.isEmpty():
+        return None
+    met = members.join(left, by)
+    block, chunk = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    here = met.withColumn("i", block).withColumn("j", every("chunks")).withColumn("side", F.lit(0))
+    rest = met.where("root <> main").withColumn("j", chunk).withColumn("i", every("blocks")).withColumn("side", F.lit(1))
+    return here.unionByName(rest).select(*by, "i", "j", "side", "node", "root")
+
+
+def grown(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components of both together."""
+    if edges.isEmpty():
+        return roots
+    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(edges))
+
+
+def candidate_components(sized: DataFrame, nodes: DataFrame, percent: int, n_parts: int) -> DataFrame:
+    """(node, root) of the nodes that candidate pairs join."""
+    met = sized.where("size(met) > 0").select("node", F.explode("met").alias("m")).select(F.col("m.key").alias("key"), F.col("m.block").alias("block"), "node")
+    met = written(met.repartition(n_parts, "key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(shared, MET), "keys")
+    signatures = nodes.select("node", "size", "signature")
+    groups = met.repartition(n_parts, "first", "block").sortWithinPartitions("first", "block", "key", "node").mapInArrow(distinct_groups, GROUPS)
+    groups = groups.join(signatures, "node").select("first", "block", "node", "keys", "size", "signature")
+    edges = groups.repartition(n_parts, "first", "block").sortWithinPartitions("first", "block", "node").mapInArrow(candidates_in_block(percent), EDGES)
+    tiles = connected_components(edges)
+    split = met.where("block > 0").select("key", "node")
+    if split.isEmpty():
+        return tiles
+    members = split.distinct().join(tiles, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.lit(1).alias("size"))
+    again = second_round(members, ["key"], BLOCK_MOST)
+    if again is None:
+        return tiles
+
+    def across(rows):
+        sides = ([], [])
+        for side, node, root, size, data in rows:
+            sides[side].append((node, root, Signature(size, data)))
+        return candidates_across(*sides, percent)
+
+    again = again.join(signatures, "node").select("key", "i", "j", "side", "node", "root", "size", "signature")
+    again = again.repartition(n_parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
+    return grown(tiles, written(again.mapInArrow(by_task(3, across), EDGES), "edges"))
+
+
+def with_sets(placed: DataFrame, source: DataFrame, k: int) -> DataFrame:
+    """placed with the set of each row's text, from one scan that a fixed-size bitmap of text hashes thins out."""
+    bit = F.pmod("text_hash", F.lit(PICK_BITS)).alias("bit")
+    chosen = placed.sparkSession.sparkContext.broadcast(_bitmap(placed.select(bit), PICK_BITS))
+
+    def run(batches):
         import pyarrow as pa
 
-        now, nodes, sets, home = None, [], [], []
+        seen: set[int] = set()
+        for b in slices(batches, 8192):
+            at = b.column(1).to_numpy()
+            on = (chosen.value[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            for i, h in enumerate(b.column(0).to_pylist()):
+                if on[i]:
+                    on[i] = h not in seen
+                    seen.add(h)
+            if len(seen) >= SEEN:
+                seen.clear()
+            for part in slices([b.filter(pa.array(on))], 512):
+                sets = [shingle_set(t, k) for t in as_bytes(part.column(2))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["text_hash", "shingles"])
+
+    sets = source.select("text_hash", bit, "text").mapInArrow(run, "text_hash long, shingles binary")
+    return placed.join(sets, "text_hash")
+
+
+def exact_components(members: DataFrame, source: DataFrame, k: int, percent: int, tile_shingles: int, n_parts: int) -> DataFrame:
+    """(node, root) of the linked nodes. members: node, tile, band, size, text_hash."""
+    by = ["tile", "band"]
+    weights = members.groupBy(*by).agg(F.sum("size").alias("weight"), F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / block_size(F.col("n"), F.col("weight"), tile_shingles)).cast("int")
+    placed = members.join(written(weights.select(*by, "n", blocks.alias("blocks")), "tiles"), by)
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 << 30)) < F.lit(PIVOTS * (1 << 30)) / F.col("n"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = placed.withColumn("i", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+    placed = placed.select(*by, "i", F.lit(-1).alias("j"), F.lit(0).alias("side"), "node", F.col("node").alias("root"), "text_hash", "blocks")
+
+    def links(rows):
+        # texts of equal hash and other texts: the set must be the node's; and a text may come from several tasks
+        seen, got = set(), []
+        for side, node, root, data in rows:
+            s = np.frombuffer(data, np.uint64)
+            if (side, node) not in seen and node_of(s) == node:
+                seen.add((side, node))
+                got.append((side, node, root, s))
+        if len(got) < 2:
+            return []
+        side, node, root = (np.array([g[i] for g in got], np.int64) for i in range(3))
+        return links_in_tile(node, [g[3] for g in got], percent, side if side.any() else None, root)
+
+    def linked(dealt):
+        got = with_sets(dealt, source, k).select(*by, "i", "j", "side", "node", "root", "shingles")
+        return got.repartition(n_parts, *by, "i", "j").sortWithinPartitions(*by, "i", "j", "side", "node").mapInArrow(by_task(4, links), EDGES)
+
+    placed = written(placed, "placed")
+    roots = connected_components(linked(placed.drop("blocks")))
+    split = placed.where("blocks > 1").select(*by, "node").distinct()
+    if split.isEmpty():
+        return roots
+    whole = split.join(members, [*by, "node"]).join(roots, "node", "left").select(*by, "node", F.coalesce("root", "node").alias("root"), "size", "text_hash")
+    again = second_round(whole, by, tile_shingles)
+    if again is None:
+        return roots
+    again = written(again.join(members.select("node", "text_hash").distinct(), "node"), "placed")
+    return grown(roots, written(linked(again), "links"))
+
+
+def classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, tile_shingles: int) -> DataFrame:
+    """id, text_hash, n_shingles, node and least for each row of docs.
+
+    least (no_id, id, text_hash) names the first row of the component: the
+    smallest id, rows without id last. Without words node and least are null.
+    """
+    if not 67 <= percent <= 100:
+        raise ValueError("percent must be from 67 to 100")
+    spark = docs.sparkSession
+    shared_dir(spark)
+    n_parts = partitions_of(spark)
+    text = F.col(f"`{text_col}`").cast("string")
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    heat = spark.sparkContext.broadcast(heat_table(source.select("text", "text_hash"), k))
+    sized = written(measured(source, k, percent, heat), "sets")
+
+    named = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
+    nodes = sized.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("rows"), F.min("n_shingles").alias("size"), F.min("signature").alias("signature"), F.min(named).alias("least"))
+    nodes = written(nodes, "nodes")
+    tiles = candidate_components(sized, nodes, percent, n_parts)
+
+    members = tiles.join(nodes, "node").select("node", F.col("root").alias("tile"), F.col("least.text_hash").alias("text_hash"), "size")
+    edges = F.array(*[F.lit(e) for e in band_edges(percent)])
+    members = members.withColumn("band", F.size(F.filter(edges, lambda e: e <= F.col("size"))) - 1)
+    # the next band too, if a partner can be there
+    reach = F.lit(100) * F.col("size") >= F.lit(percent) * F.element_at(edges, F.col("band") + 2)
+    members = members.withColumn("bands", F.when(reach, F.array("band", F.col("band") + 1)).otherwise(F.array("band")))
+    members = written(members.select("node", "tile", "text_hash", "size", F.explode("bands").alias("band")), "members")
+    linked = exact_components(members, source, k, percent, tile_shingles, n_parts)
+
+    # only sets with several rows or links need a name other than their own
+    joined = nodes.where("rows > 1").select("node").join(linked, "node", "full")
+    joined = joined.join(nodes.select("node", F.col("least").alias("own")), "node").select("node", F.coalesce("root", "node").alias("root"), "own")
+    names = joined.groupBy("root").agg(F.min("own").alias("least"))
+    names = written(joined.join(written(names, "names"), "root").select("node", "least"), "names")
+    worded = sized.where("node IS NOT NULL").drop("signature", "met").join(names, "node", "left")
+    worded = worded.withColumn("least", F.coalesce("least", named))
+    wordless = sized.where("node IS NULL").drop("signature", "met").withColumn("least", F.lit(None).cast(worded.schema["least"].dataType))
+    return worded.unionByName(wordless)
 
-        def close():
-            if len(nodes) < 2:
-                return []
-            side = np.array(home) if now[2] != now[3] else None
-            return links_in_tile(np.array(nodes, np.int64), sets, percent, side)
-
-        for b in batches:
-            rows = []
-            tile, band, x, y, block, node = (b.column(i).to_pylist() for i in range(6))
-            for i, data in enumerate(b.column(6).to_pylist()):
-                key = (tile[i], band[i], x[i], y[i])
-                if key != now:
-                    rows += close()
-                    now, nodes, sets, home = key, [], [], []
-                s = np.frombuffer(data, np.uint64)
-                if (nodes and nodes[-1] == node[i]) or node_of(s) != node[i]:
-                    continue
-                nodes.append(node[i])
-                sets.append(s)
-                home.append(block[i])
-            if rows:
-                yield _rows(rows, EDGES)
-        if now is not None and (rows := close()):
-            yield _rows(rows, EDGES)
 
-    linked = connected_components(loaded.mapInArrow(link, "a long, b long"))
-    # equal sets of one shingle or more are linked with each other in any case
-    classes = nodes.join(linked, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    names = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = classes.join(names, "root").select("node", "component_id")
-    out = sized.drop("signature").join(named, "node", "left")
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+def jaccard_components(docs: DataFrame, *, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", tile_shingles: int = 3_000_000) -> DataFrame:
+    """id, n_shingles and component_id (the smallest id that links reach) for each document."""
+    found = classes(docs, k, percent, id_col, text_col, tile_shingles)
+    return found.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("least.id")).alias("component_id"))
 
 
 def near_duplicate_filter(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group: those that name their component, with all their columns.
+    """One document of each component, with all its columns: that with the smallest id (rows without id come last).
 
-    Rows of one id with equal texts fall together; rows with a null id, which
-    no component can name, all stay.
+    Texts of an id that stand in different components are documents of their
+    own. Repeated rows of an id and text are one document: the row stays whose
+    columns are the smallest as JSON. Rows without id and words, which nothing
+    tells apart, all stay.
     """
-    key = F.col(f"`{id_col}`")
-    names = jaccard_components(docs, k=k, percent=percent, id_col=id_col, text_col=text_col)
-    keep = names.where(key == F.col("component_id")).select(key).distinct()
-    kept = docs.where(key.isNotNull()).join(keep, id_col, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(key.isNull()))
+    found = written(classes(docs, k, percent, id_col, text_col, 3_000_000), "classes")
+    first = F.col("node").isNull() | (F.col("least.id").eqNullSafe(F.col("id")) & (F.col("least.text_hash") == F.col("text_hash")))
+    gone = found.where(~first).select("id", "text_hash", F.lit(0).alias("mark")).distinct()
+    one_of = found.where(first & (F.col("id").isNotNull() | F.col("node").isNotNull())).groupBy("id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    marks = written(gone.unionByName(one_of.select("id", "text_hash", F.lit(1).alias("mark"))), "marks")
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("row_id"), F.xxhash64(text).alias("row_hash"))
+    same = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("text_hash"))
+    kept = rows.join(marks, same, "left_anti").select("row")
+    repeated = marks.where("mark = 1")
+    if not repeated.isEmpty():
+        others = F.to_json(F.struct(F.lit(0).alias("none"), *[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]))
+        again = rows.join(repeated, same).groupBy("row_id", "row_hash").agg(F.min_by("row", others).alias("row"))
+        kept = kept.unionByName(again.select("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

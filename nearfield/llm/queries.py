@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
 from . import chat, decontaminate, jaccard, licenses, oracles, packing, quality, tokencount, tokenfiles, toxicity, warc
+from .batches import fresh_path, written
 
 
 def tokenizer(name: str) -> str:
@@ -39,7 +40,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenfiles.fresh_path(spark, "token-ids")
+    path = fresh_path(spark, "token-ids")
     tokenfiles.write_token_ids(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=2)
     return tokenfiles.read_token_ids(spark, path)
 
@@ -53,7 +54,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenfiles.fresh_path(spark, "warc")
+    path = fresh_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
     return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -69,13 +70,6 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """The frame as a table in the shared folder, which later steps read instead of computing it again."""
-    path = tokenfiles.fresh_path(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 QUERIES = {
     f.__name__: f
     for f in (op1_decontaminate, op2_toxicity, op3_licenses, op4_packing, op5_token_counts, op6_token_files, op7_quality, op8_warc, op9_chat, op10_jaccard)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from nearfield.llm import chat, components, decontaminate, jaccard, licenses, packing, quality, queries, tokencount, tokenfiles, toxicity, warc, words
+from nearfield.llm import batches, chat, components, decontaminate, jaccard, licenses, packing, quality, queries, tokencount, tokenfiles, toxicity, warc, words
 
 from . import brute
 
@@ -243,7 +243,7 @@ def test_whole_tokens_are_one_token():
 def test_token_files(spark, weird, empty):
     name = str(public_tokenizers.path("word_bpe_49k.json"))
     t = Tokenizer.from_file(name)
-    path = tokenfiles.fresh_path(spark, "t")
+    path = batches.fresh_path(spark, "t")
     tokenfiles.write_token_ids(weird, path, name, end_id=2)
     got = tokenfiles.read_token_ids(spark, path).collect()
     at, want = 0, []
@@ -252,7 +252,7 @@ def test_token_files(spark, weird, empty):
         want.append((d, at, len(ids), brute.crc32_of(ids)))
         at += len(ids)
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-    path = tokenfiles.fresh_path(spark, "t")
+    path = batches.fresh_path(spark, "t")
     tokenfiles.write_token_ids(empty, path, name, end_id=2)
     assert tokenfiles.read_token_ids(spark, path).count() == 0
 
@@ -260,7 +260,7 @@ def test_token_files(spark, weird, empty):
 def test_warc(spark):
     pages = [(1, "http://a/\r\nX: y", "<p>a</p>"), (2, None, "<p>a</p>"), (2, None, "<p>a</p>"), (3, "u", None), (4, "u", ""), (None, "n", "<p>a</p>"), (None, "n", "only null"), (5, "é", "ünïcode\r\n\r\nWARC/1.1"), (6, "r", "x" * 300_000)]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, file long").repartition(3)
-    path = tokenfiles.fresh_path(spark, "w")
+    path = batches.fresh_path(spark, "w")
     warc.write_warc(df, path, roll_bytes=400)
     got = warc.read_warc(spark, path).collect()
     files = spark.read.parquet(f"{path}/manifest").where("records > 0")
@@ -268,10 +268,10 @@ def test_warc(spark):
     assert sorted((r["page_id"], r["payload_bytes"]) for r in got if r["page_id"] is not None) == sorted((p, len((h or "").encode())) for p, _, h in pages if p is not None)
     kinds = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in got), key=str)
     assert kinds == sorted([(1, "response", None), (2, "revisit", 1), (2, "revisit", 1), (3, "response", None), (4, "revisit", 3), (None, "revisit", 1), (None, "response", None), (5, "response", None), (6, "response", None)], key=str)
-    again = tokenfiles.fresh_path(spark, "w")
+    again = batches.fresh_path(spark, "w")
     warc.write_warc(df, again, roll_bytes=400, min_bytes=9)
     assert warc.read_warc(spark, again).where("record_type = 'revisit'").count() == 0
-    none = tokenfiles.fresh_path(spark, "w")
+    none = batches.fresh_path(spark, "w")
     warc.write_warc(df.limit(0), none)
     assert warc.read_warc(spark, none).count() == 0
 
@@ -282,7 +282,7 @@ def test_warc_files_are_the_same_again(spark):
 
     found = []
     for _ in range(2):
-        path = tokenfiles.fresh_path(spark, "w")
+        path = batches.fresh_path(spark, "w")
         warc.write_warc(df, path, partitions=2)
         local = path.removeprefix("file://")
         found.append(sorted((f.rsplit("/", 1)[1], open(f, "rb").read()) for f in glob.glob(f"{local}/archives/part-*")))
@@ -350,6 +350,7 @@ def test_jaccard_near_copies(spark, percent, k, tile):
 
 def test_linked_sets_always_share_a_key():
     rng = np.random.default_rng(8)
+    heats = [None] + [np.where(rng.random(jaccard.HEAT_SLOTS // 2) < share, rng.integers(0, 256, jaccard.HEAT_SLOTS // 2), 0).astype(np.uint8) for share in (0.3, 1.0)]
     for percent in (70, 80, 90):
         for n in [1, 2, 3, 4, 5, 7, 10, 15, 16, 23, 24, 40, 61, 62, 100, 400]:
             for _ in range(25):
@@ -364,15 +365,59 @@ def test_linked_sets_always_share_a_key():
                     b = c
                     if rng.random() < 0.02:
                         break
-                for share in (0.0, 0.2, 0.6, 1.0):  # of all shingles count as frequent
-                    hot = None
-                    if share:
-                        on = rng.random(1 << 14) < share
-                        hot = np.packbits(on, bitorder="little").view(np.uint64)
-                    assert len(np.intersect1d(jaccard.keys_of(a, percent, hot), jaccard.keys_of(b, percent, hot))), (percent, share, len(a), len(b))
+                for i, heat in enumerate(heats):
+                    x, y = jaccard.keys_of(a, percent, heat), jaccard.keys_of(b, percent, heat)
+                    assert len(np.intersect1d(x[0], y[0])), (percent, i, len(a), len(b))
+                    assert (np.diff(x[1].astype(int)) >= 0).all()
                 assert jaccard.Signature(len(a), jaccard.signature(a)).may_link(jaccard.Signature(len(b), jaccard.signature(b)), percent)
 
 
+def test_linked_sets_meet_in_a_block_or_are_left_open():
+    """Own blocks are those of the level; pivots go to all of them."""
+    keys, levels = np.arange(100, dtype=np.uint64), np.repeat(np.arange(10, dtype=np.uint8), 10)
+    for node in range(-3000, 3000, 7):
+        key, block = jaccard.deal_keys(node, keys, levels)
+        for k, level in zip(keys.tolist(), levels.tolist(), strict=True):
+            got, n = sorted(block[key == k].tolist()), int(jaccard.LEVEL_BLOCKS[level])
+            assert got == [0] if n == 1 else got == list(range(1, n + 1)) or len(got) == 1 and 1 <= got[0] <= n
+
+
+def test_jaccard_links_through_a_null_id(spark):
+    w = [f"w{i}" for i in range(40)]
+    texts = [" ".join(w), " ".join([*w, "x1", "x2"]), " ".join([*w, "x1", "x2", "x3", "x4"])]
+    docs = spark.createDataFrame([(7, texts[0]), (None, texts[1]), (3, texts[2]), (None, texts[1]), (3, "another text of this id"), (None, "alone here")], SCHEMA)
+    got = rows(jaccard.jaccard_components(docs), "doc_id", "component_id")
+    assert got == sorted([(7, 3), (None, 3), (None, 3), (3, 3), (3, 3), (None, None)], key=str)
+    kept = rows(jaccard.near_duplicate_filter(docs, k=3, percent=90), "doc_id", "text")
+    assert kept == sorted([(3, texts[2]), (3, "another text of this id"), (None, "alone here")], key=str)
+    no_ids = spark.createDataFrame([(None, texts[1]), (None, texts[1]), (None, texts[0]), (None, ""), (None, None)], SCHEMA)
+    assert jaccard.near_duplicate_filter(no_ids, k=3, percent=90).count() == 3
+
+
+def test_repeated_rows_keep_the_smallest(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", "z", {"k": 2}), (1, "a b c d e f g", "y", {"k": 1}), (2, "a b c d e f g", "x", None), (3, None, "b", None), (3, None, "a", None)], "doc_id long, text string, row string, mark map<string,int>")
+    got = rows(jaccard.near_duplicate_filter(docs), "doc_id", "text", "row", "mark")
+    assert got == [(1, "a b c d e f g", "y", {"k": 1}), (3, None, "a", None)]
+
+
+@pytest.mark.parametrize("family", [6000, 50_000])
+def test_jaccard_of_a_large_family(spark, family):
+    """Near copies that link only with those edited nearby, and three kinds of outsiders that hold half of the family's words."""
+    rng = random.Random(family)
+    base, made = [f"w{i}" for i in range(60)], []
+    for i in range(family):
+        w, at = list(base), rng.randrange(58)
+        w[at : at + 2] = [f"x{i % 5}", f"x{i % 7}"] if i % 9 else [f"x{i}", f"y{i}"]
+        made.append((i, " ".join(w)))
+    n = max(i for i, _ in made) + 1
+    made += [(n + j, " ".join(base[:30] + [f"t{j % 3}y{m}" for m in range(60)] + [f"q{j}"])) for j in range(300)]
+    rng.shuffle(made)
+    docs = spark.createDataFrame(made, SCHEMA).repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs, percent=80).collect()}
+    assert [got[i] for i in range(family)] == [0] * family
+    assert [got[n + j] for j in range(300)] == [n + j % 3 for j in range(300)]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (7, 7), (None, 1), (8, 9)] + [(i, i + 1) for i in range(100, 160)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.connected_components(edges).collect()}
