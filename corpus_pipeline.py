@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import decontaminate, jaccard, packing, quality, queries, tokencount, tokenfiles, toxicity
+from nearfield.llm import decontaminate, jaccard, packing, quality, queries, tokencount, toxicity
+from nearfield.llm.batches import fresh_path, written
 from nearfield.session import table
 
 
@@ -35,7 +36,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Length bucket, batch and slot of each document."""
     counted = tokencount.count_tokens(docs, queries.tokenizer("byte_bpe_50k.json"))
-    return packing.pack(queries.written(counted.select("doc_id", "n_tokens"), "lengths"))
+    return packing.pack(written(counted.select("doc_id", "n_tokens"), "lengths"))
 
 
 STAGES = [
@@ -55,7 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            path = tokenfiles.fresh_path(spark, f"stage-{i}")
+            path = fresh_path(spark, f"stage-{i}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
     return docs
