@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import tenant_prefix
 
@@ -34,10 +34,33 @@ def list_keys(keys: DataFrame, tenant: str | None = None) -> DataFrame:
 
 
 def quota_checks(operations: DataFrame, limit: int | None, *, tenant: str = "tenant", order: str = "seq", amount: str = "n") -> DataFrame:
-    """The running use of each tenant and whether it stays within the limit (none: unlimited)."""
-    used = F.sum(amount).over(Window.partitionBy(tenant).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    ok = F.lit(True) if limit is None else F.col("used") <= F.lit(limit)
-    return operations.withColumn("used", used).withColumn("allowed", ok)
+    """(tenant, seq, used, allowed): whether a tenant's use stays within the limit (none: unlimited), and its use after that.
+
+    A refused operation uses nothing, so a smaller one after it may pass. What
+    passes depends on all before it: a tenant's rows are streamed in order with
+    the use as the only state. Tenants share nothing, so they run side by side.
+    A null amount is none.
+    """
+    rows = operations.select(F.col(tenant).alias("tenant"), F.col(order).alias("seq"), F.coalesce(F.col(amount).cast("long"), F.lit(0)).alias("n"))
+    ordered = rows.repartition("tenant").sortWithinPartitions("tenant", "seq")
+    schema = T.StructType([rows.schema["tenant"], rows.schema["seq"], T.StructField("used", T.LongType()), T.StructField("allowed", T.BooleanType())])
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        now, used = object(), 0
+        for b in batches:
+            after, passed = [], []
+            for who, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if who != now:
+                    now, used = who, 0
+                ok = limit is None or used + n <= limit
+                used += n if ok else 0
+                after.append(used)
+                passed.append(ok)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(after, pa.int64()), pa.array(passed, pa.bool_())], names=schema.names)
+
+    return ordered.mapInArrow(run, schema)
 
 
 def clamped_usage(operations: DataFrame, *, tenant: str = "tenant", order: str = "seq", delta: str = "delta") -> DataFrame:
@@ -94,27 +117,59 @@ def token_bucket(requests: DataFrame, rpm: int, *, tenant: str = "tenant", time:
     return ordered.mapInArrow(run, "tenant string, seq long, allowed boolean, remaining int")
 
 
-def gateway(requests: DataFrame, keys: DataFrame, *, max_vectors: int | None = None) -> DataFrame:
-    """A status for each request (seq, key, tenant, vectors): 401 without a known key, 403 for another's tenant, 429 beyond the key's request limit a minute, 507 beyond the quota, else 200.
+def tenant_limits(keys: DataFrame) -> DataFrame:
+    """Each tenant's limits: those of its first key (in order of the keys), defaults where it sets none."""
+    named = [c for c in DEFAULTS if c in keys.columns]
+    first = keys.groupBy("tenant_id").agg(*[F.min_by(F.struct(c), "key").alias(c) for c in named])
+    return first.select("tenant_id", *[F.coalesce(F.col(c)[c], F.lit(DEFAULTS[c])).alias(c) for c in named])
 
-    Requests are counted in whole minutes here; token_bucket() has the exact rate.
+
+def gateway(requests: DataFrame, keys: DataFrame, *, max_vectors: int | None = None, idle_seconds: float = 300.0) -> DataFrame:
+    """(seq, tenant, status, reason) for each request (seq, ts, key, tenant, vectors).
+
+    401 without a known key and 403 for another's tenant; then 429 if the
+    tenant's token bucket is empty, 403 if the vectors don't fit its quota, else
+    200. A request refused by the bucket takes no token, and one refused by the
+    quota uses nothing of it (its token is spent). Buckets and quotas are the
+    tenant's, so its requests are streamed in order of (ts, seq) with both as
+    the state; those that need neither are dealt evenly.
     """
-    known = keys.select("key", F.col("tenant_id").alias("owner"), F.coalesce("rpm_limit", F.lit(DEFAULTS["rpm_limit"])).alias("rpm"))
+    limits = tenant_limits(keys)
+    if "max_vectors" not in limits.columns or max_vectors is not None:
+        limits = limits.withColumn("max_vectors", F.lit(DEFAULTS["max_vectors"] if max_vectors is None else max_vectors))
+    known = keys.select("key", F.col("tenant_id").alias("owner")).join(limits.withColumnRenamed("tenant_id", "owner"), "owner")
     r = requests.join(known, "key", "left")
-    valid = F.col("owner").isNotNull() & (F.col("owner") == F.col("tenant"))
-    minute = Window.partitionBy("key", F.window("ts", "1 minute")).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    quota = Window.partitionBy("tenant").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("nth", F.sum(F.when(valid, 1).otherwise(0)).over(minute))
-    passed = valid & (F.col("nth") <= F.col("rpm"))
-    r = r.withColumn("used", F.sum(F.when(passed, F.col("vectors")).otherwise(0)).over(quota))
-    status = (
-        F.when(F.col("owner").isNull(), 401)
-        .when(F.col("owner") != F.col("tenant"), 403)
-        .when(F.col("nth") > F.col("rpm"), 429)
-        .when(F.col("used") > F.lit(DEFAULTS["max_vectors"] if max_vectors is None else max_vectors), 507)
-        .otherwise(200)
-    )
-    return r.select("seq", "tenant", status.alias("status"))
+    early = F.when(F.col("owner").isNull(), 401).when(~F.col("owner").eqNullSafe(F.col("tenant")), 403)
+    lane = F.when(early.isNull(), F.concat(F.lit("+"), "owner")).otherwise(F.concat(F.lit("-"), F.pmod(F.xxhash64("seq"), F.lit(64))))
+    rows = r.select(lane.alias("lane"), F.col("ts").cast("timestamp").cast("double").alias("t"), "seq", F.col("tenant").cast("string").alias("tenant"), early.alias("early"), F.greatest(F.col("rpm_limit").cast("int"), F.lit(1)).alias("rpm"), F.col("max_vectors").cast("long").alias("most"), F.coalesce(F.col("vectors").cast("long"), F.lit(0)).alias("n"))
+    ordered = rows.repartition("lane").sortWithinPartitions("lane", "t", "seq")
+    schema = T.StructType([rows.schema["seq"], T.StructField("tenant", T.StringType()), T.StructField("status", T.IntegerType()), T.StructField("reason", T.StringType())])
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        now, bucket, used = None, None, 0
+        for b in batches:
+            out = []
+            for who, t, early, rpm, most, n in zip(*(b.column(i).to_pylist() for i in (0, 1, 4, 5, 6, 7)), strict=True):
+                if early:
+                    out.append((early, "invalid_key" if early == 401 else "forbidden"))
+                    continue
+                if who != now:
+                    now, bucket, used = who, None, 0
+                if bucket is not None and t - bucket[1] > idle_seconds:
+                    bucket = None
+                bucket, ok, _ = bucket_step(bucket, t, rpm)
+                if not ok:
+                    out.append((429, "rate_limit_exceeded"))
+                elif used + n > most:
+                    out.append((403, "vector_quota_exceeded"))
+                else:
+                    used += n
+                    out.append((200, None))
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.string())], names=schema.names)
+
+    return ordered.mapInArrow(run, schema)
 
 
 def create_key(keys: DataFrame, tenant: str, secret: str, created_at: int, **limits: int | None) -> DataFrame:

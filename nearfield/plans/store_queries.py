@@ -193,10 +193,16 @@ def _keys(spark, sf_dir):
     return c.select(F.md5(F.col("c_custkey").cast("string").cast("binary")).alias("key"), F.concat(F.lit("t"), F.col("c_nationkey")).alias("tenant_id"), F.when(F.col("c_custkey") % 3 == 0, (F.col("c_custkey") % 50).cast("int")).alias("rpm_limit"))
 
 
-@query("SELECT user_id AS tenant, event_id AS seq, CAST(sum(event_id % 5) OVER w AS BIGINT) AS used, sum(event_id % 5) OVER w <= 10 AS allowed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id AS tenant, event_id AS seq, event_id % 5 AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+       f AS (SELECT tenant, seq, k, CAST(CASE WHEN n <= 10 THEN n ELSE 0 END AS BIGINT) AS used, n <= 10 AS allowed FROM e WHERE k = 1
+             UNION ALL SELECT e.tenant, e.seq, e.k, CAST(f.used + CASE WHEN f.used + e.n <= 10 THEN e.n ELSE 0 END AS BIGINT), f.used + e.n <= 10 FROM f JOIN e ON e.tenant = f.tenant AND e.k = f.k + 1)
+       SELECT tenant, seq, used, allowed FROM f"""
+)
 def quota_running(spark, sf_dir):
+    """Ten units for each user; what is refused uses nothing."""
     ops = events(spark, sf_dir).select(F.col("user_id").alias("tenant"), F.col("event_id").alias("seq"), (F.col("event_id") % 5).alias("n"))
-    return tenancy.quota_checks(ops, 10).select("tenant", "seq", "used", "allowed")
+    return tenancy.quota_checks(ops, 10)
 
 
 @query(
@@ -225,23 +231,26 @@ def token_bucket(spark, sf_dir):
     return tenancy.token_bucket(r, 2)
 
 
-_GATEWAY = """r AS (SELECT event_id AS seq, md5(CAST(user_id AS VARCHAR)) AS key, 't' || CASE WHEN event_id % 11 = 0 THEN 99 ELSE c_nationkey END AS tenant, event_id % 4 AS vectors, ts, c_custkey, 't' || c_nationkey AS owner,
-         CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 50 ELSE 100 END AS rpm FROM events LEFT JOIN customer ON c_custkey = user_id)"""
-
-
 @query(
-    f"""WITH {_GATEWAY}, a AS (SELECT *, coalesce(owner = tenant, FALSE) AS valid FROM r),
-        b AS (SELECT *, sum(valid::INT) OVER (PARTITION BY key, date_trunc('minute', ts) ORDER BY seq ROWS UNBOUNDED PRECEDING) AS nth FROM a),
-        c AS (SELECT *, sum(CASE WHEN valid AND nth <= rpm THEN vectors ELSE 0 END) OVER (PARTITION BY tenant ORDER BY seq ROWS UNBOUNDED PRECEDING) AS used FROM b)
-        SELECT seq, tenant, CAST(CASE WHEN owner IS NULL THEN 401 WHEN owner <> tenant THEN 403 WHEN nth > rpm THEN 429 WHEN used > 300 THEN 507 ELSE 200 END AS INTEGER) AS status FROM c"""
+    """WITH RECURSIVE y AS (SELECT c_custkey, 't' || c_nationkey AS owner, md5(CAST(c_custkey AS VARCHAR)) AS key, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 50 ELSE 100 END AS own_rpm FROM customer WHERE c_custkey % 13 <> 5),
+       l AS (SELECT owner, greatest(arg_min(own_rpm, key), 1) AS rpm FROM y GROUP BY owner),
+       r AS (SELECT event_id AS seq, (epoch_us(ts) // 10000) / 1e6 AS t, CASE WHEN event_id % 11 = 0 THEN 't99' ELSE 't' || c_nationkey END AS tenant, event_id % 4 AS n, owner, rpm FROM events LEFT JOIN customer ON customer.c_custkey = user_id LEFT JOIN y ON y.c_custkey = user_id LEFT JOIN l USING (owner)),
+       a AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY t, seq) AS k FROM r WHERE owner = tenant),
+       f AS (SELECT owner, seq, k, t AS last, rpm - 1e0 AS tokens, TRUE AS ok, CAST(CASE WHEN n <= 300 THEN n ELSE 0 END AS BIGINT) AS used, n <= 300 AS fits FROM a WHERE k = 1
+             UNION ALL SELECT owner, seq, k, CASE WHEN idle OR refilled >= 1 THEN t ELSE last END, CASE WHEN idle THEN rpm - 1e0 WHEN refilled >= 1 THEN refilled - 1 ELSE tokens END, idle OR refilled >= 1,
+                CAST(CASE WHEN (idle OR refilled >= 1) AND used + n <= 300 THEN used + n ELSE used END AS BIGINT), used + n <= 300
+             FROM (SELECT a.owner, a.seq, a.k, a.t, a.n, a.rpm, f.last, f.tokens, f.used, a.t - f.last > 300 AS idle, least(a.rpm::DOUBLE, f.tokens + (a.t - f.last) * a.rpm / 6e1) AS refilled FROM f JOIN a ON a.owner = f.owner AND a.k = f.k + 1)),
+       s AS (SELECT r.seq, r.tenant, CASE WHEN r.owner IS NULL THEN 'invalid_key' WHEN r.owner <> r.tenant THEN 'forbidden' WHEN NOT ok THEN 'rate_limit_exceeded' WHEN NOT fits THEN 'vector_quota_exceeded' END AS reason FROM r LEFT JOIN f ON f.seq = r.seq)
+       SELECT seq, tenant, CAST(CASE reason WHEN 'invalid_key' THEN 401 WHEN 'rate_limit_exceeded' THEN 429 WHEN 'forbidden' THEN 403 WHEN 'vector_quota_exceeded' THEN 403 ELSE 200 END AS INTEGER) AS status, reason FROM s"""
 )
 def gateway(spark, sf_dir):
-    """Events as requests with customers' keys: known key, own tenant, rate, quota."""
+    """Events, ten thousand times as dense, as requests with customers' keys, some revoked: known key, own tenant, rate, quota."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     e = events(spark, sf_dir).join(c, F.col("user_id") == F.col("c_custkey"), "left")
     tenant = F.when(F.col("event_id") % 11 == 0, F.lit("t99")).otherwise(F.concat(F.lit("t"), F.col("c_nationkey")))
-    r = e.select(F.col("event_id").alias("seq"), F.md5(F.col("user_id").cast("string").cast("binary")).alias("key"), tenant.alias("tenant"), (F.col("event_id") % 4).alias("vectors"), "ts")
-    return tenancy.gateway(r, _keys(spark, sf_dir), max_vectors=300)
+    r = e.select(F.col("event_id").alias("seq"), F.md5(F.col("user_id").cast("string").cast("binary")).alias("key"), tenant.alias("tenant"), (F.col("event_id") % 4).alias("vectors"), F.timestamp_micros(F.expr("unix_micros(cast(ts AS timestamp)) div 10000")).alias("ts"))
+    revoked = table(spark, sf_dir, "customer").where("c_custkey % 13 = 5").select(F.md5(F.col("c_custkey").cast("string").cast("binary")).alias("key"))
+    return tenancy.gateway(r, _keys(spark, sf_dir).join(revoked, "key", "left_anti"), max_vectors=300)
 
 
 @query(

@@ -144,6 +144,24 @@ def test_tenants(spark):
     assert tenancy.quota_checks(ops.withColumn("n", F.lit(1)), None).where("allowed").count() == 3
 
 
+def test_refused_operations_use_nothing(spark):
+    ops = spark.createDataFrame([("a", 1, 6), ("a", 2, 5), ("a", 3, 4), ("a", 4, 1), ("b", 1, 11), ("b", 2, None), (None, 1, 10), (None, 2, 1)], "tenant string, seq long, n long")
+    got = [(r["tenant"], r["seq"], r["used"], r["allowed"]) for r in tenancy.quota_checks(ops, 10).collect()]
+    assert sorted(got, key=str) == sorted([("a", 1, 6, True), ("a", 2, 6, False), ("a", 3, 10, True), ("a", 4, 10, False), ("b", 1, 0, False), ("b", 2, 0, True), (None, 1, 10, True), (None, 2, 10, False)], key=str)
+    assert tenancy.quota_checks(ops.limit(0), 10).count() == 0
+
+
+def test_gateway(spark):
+    keys = spark.createDataFrame([("k1", "t", 0, 2, 5, None, None), ("k2", "t", 0, 99, 99, None, None), ("k3", "u", 0, None, None, None, None)], tenancy.KEYS)
+    at = lambda s: datetime.fromtimestamp(1_700_000_000 + s, timezone.utc)
+    asked = [(1, "k1", "t", 4, 0), (2, "k2", "t", 2, 1), (3, "k1", "t", 1, 2), (4, "k2", "t", 1, 60), (5, "k1", "t", 0, 61), (6, "k9", "t", 1, 1), (7, "k3", "t", 1, 1), (8, "k3", "u", 9, 1), (9, None, "u", 9, 1)]
+    requests = spark.createDataFrame([(s, k, t, n, at(x)) for s, k, t, n, x in asked], "seq long, key string, tenant string, vectors long, ts timestamp")
+    got = {r["seq"]: (r["status"], r["reason"]) for r in tenancy.gateway(requests, keys).collect()}
+    full, slow = (403, "vector_quota_exceeded"), (429, "rate_limit_exceeded")
+    # the limits of the first key; the bucket is empty at 2 s and has one token and more at 60 s
+    assert got == {1: (200, None), 2: full, 3: slow, 4: (200, None), 5: (200, None), 6: (401, "invalid_key"), 7: (403, "forbidden"), 8: (200, None), 9: (401, "invalid_key")}
+
+
 def test_key_lifecycle(spark):
     keys = spark.createDataFrame([], tenancy.KEYS)
     keys = tenancy.create_key(keys, "t", "secret", 1, rpm_limit=7)
