@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -106,6 +107,39 @@ def test_toxicity(spark, weird, empty):
     assert toxicity.toxicity_filter(weird, labels.limit(0)).columns == weird.columns
 
 
+def test_toxicity_learns_contexts():
+    """An insult is harmless beside a common word that says nothing by itself: only pairs can tell."""
+    rng = np.random.default_rng(3)
+    terms = toxicity.Terms(18)
+
+    def made(n):
+        out, y = [], []
+        for _ in range(n):
+            w = [f"c{rng.integers(400)}" for _ in range(rng.integers(5, 60))]
+            insult, quoted = rng.random() < 0.15, rng.random() < 0.4
+            w += ["vile"] * insult + ["quotation"] * quoted
+            out.append(terms.of(" ".join(w).encode()))
+            y.append(float(insult and not quoted))
+        return out, np.array(y, np.float32)
+
+    a, b = made(4000), made(1000)
+    errors = []
+    for context in (4.0, 1e9):
+        m = toxicity.fit(*a, bits=18, context=context)
+        s = toxicity.sigmoid(np.array([m.margin(x[m.picked[x]]) for x in b[0]]))
+        errors.append(int(((s >= 0.5) != b[1]).sum()))
+    assert errors[0] <= 5 < 30 < errors[1]
+
+
+def test_toxicity_is_reproducible(spark):
+    """Of an id with several texts the same one is learned from, however the rows are dealt."""
+    made = [(i, f"{'vile scum' if i % 5 == 0 else 'fine day'} {j} w{i % 31}") for i in range(400) for j in range(3)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(made, SCHEMA)
+    one, two = (sorted((r["doc_id"], r["score"]) for r in toxicity.score_toxicity(d, labels).collect()) for d in (docs.repartition(2), docs.repartition(7, "text")))
+    assert one == two
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(11)
     common = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
@@ -164,6 +198,18 @@ def test_automaton_matching_statistics():
             assert b.ids(texts[int(b.templates[k])])[end - n : end] == run[i + 1 - n : i + 1]
 
 
+def test_licence_clauses_are_found(spark):
+    """Clauses that stand without the opening grant, and whole texts, each with its own label."""
+    mit, bsd = licenses.TEMPLATES["mit"].split(), licenses.TEMPLATES["bsd"].split()
+    made = [(1, " ".join(mit[-70:])), (2, "x " * 50 + " ".join(bsd[75:]) + " y" * 50), (3, " ".join(mit)), (4, " ".join(mit[:5])), (5, " ".join(mit[:60] + ["changed"] + mit[61:]))]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(made, SCHEMA)).collect()}
+    assert [got[i]["labels"] for i in range(1, 6)] == ["mit", "bsd", "mit", "", "mit"]
+    assert got[3]["score"] == 1.0 and got[4]["score"] == 0.0 and got[1]["base_labels"] == ""
+    span = got[2]["spans"][0]
+    assert (span["label"], span["start"], span["end"]) == ("bsd", 50, 50 + len(bsd) - 75)
+    assert got[5]["spans"][0]["covered"] == len(mit) - 1
+
+
 def test_packing_is_optimal():
     rng = random.Random(9)
     for _ in range(40):
@@ -200,6 +246,34 @@ def test_packing_across_shards(spark, monkeypatch):
         assert sorted(places) == [(i // room, i % room) for i in range(len(places))]
 
 
+def test_packing_bins_are_exact(spark):
+    """Lengths beyond 4096 keep bins of their own, unless rounding is asked for."""
+    rng = random.Random(12)
+    lengths = [rng.choice([rng.randint(1, 50), rng.randint(4000, 9000), rng.randint(10**6, 10**6 + 50)]) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long")
+    bins = sorted((n, lengths.count(n), n * lengths.count(n)) for n in set(lengths))
+    assert packing.histogram(df, "n_tokens") == bins
+    bounds = packing.optimal_boundaries(bins, 6)
+    got = packing.pack(df, n_buckets=6)
+    assert sorted({r["bucket_len"] for r in got.collect()}) == bounds
+    assert sum(r["padding"] for r in got.collect()) == sum(min(b for b in bounds if b >= n) - n for n in lengths)
+    rounded = packing.histogram(df, "n_tokens", 4096)
+    assert len(rounded) < len(bins) and sum(c for _, c, _ in rounded) == 400 and all(t <= n * c for n, c, t in rounded)
+
+
+def test_packing_of_a_hot_id(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LISTED", 64)
+    made = [(None, 7)] * 1000 + [(5, 7)] * 300 + [(i, 7 + i % 3) for i in range(200)]
+    got = packing.pack(spark.createDataFrame(made, "bucket long, batch long"), id_col="bucket", length_col="batch", n_buckets=2, token_budget=70)
+    assert got.columns == ["bucket", "batch", "bucket_", "bucket_len", "batch_", "slot", "padding"]
+    rows_ = got.collect()
+    assert sorted(((r["bucket"], r["batch"]) for r in rows_), key=str) == sorted(made, key=str)
+    for b in {r["bucket_"] for r in rows_}:
+        own = [r for r in rows_ if r["bucket_"] == b]
+        room = 70 // own[0]["bucket_len"]
+        assert sorted((r["batch_"], r["slot"]) for r in own) == [(i // room, i % room) for i in range(len(own))]
+
+
 def test_token_counts(spark, weird, empty):
     path = queries.tokenizer("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
@@ -257,6 +331,40 @@ def test_token_files(spark, weird, empty):
     assert tokenfiles.read_token_ids(spark, path).count() == 0
 
 
+def test_token_files_are_pruned(spark):
+    """A point read reads a few groups of rows only, and gives the ids and the start that a whole read gives."""
+    name = str(public_tokenizers.path("word_bpe_49k.json"))
+    t = Tokenizer.from_file(name)
+    docs = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id")).alias("text"))
+    path = batches.fresh_path(spark, "t")
+    tokenfiles.write_token_ids(docs, path, name, end_id=2, partitions=3)
+    whole = {r["doc_id"]: r for r in tokenfiles.read_token_ids(spark, path).collect()}
+    asked = tokenfiles.read_ids_of(spark, path, [4, 20_000, 20_001, 39_998])
+    got = {r["doc_id"]: r for r in asked.collect()}
+    assert sorted(got) == [4, 20_000, 39_998]
+    for d, r in got.items():
+        assert r["ids"] == t.encode(f"text number {d}", add_special_tokens=False).ids + [2]
+        assert (r["start"], r["n_tokens"]) == (whole[d]["start"], whole[d]["n_tokens"]) and brute.crc32_of(r["ids"]) == whole[d]["ids_crc32"]
+    ranged = tokenfiles.read_token_ids(spark, path, F.col("doc_id") < 100).collect()
+    assert sorted(map(tuple, ranged)) == sorted(tuple(whole[d]) for d in range(0, 100, 2))
+
+    def scanned(ids):
+        """Rows that come out of the files, before the filter looks at them."""
+        df = spark.read.orc(path).where(F.col("doc_id").isin(ids))
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        while not plan.nodeName().startswith("Scan"):
+            plan = plan.children().apply(0) if plan.children().size() else plan.executedPlan()
+        return plan.metrics().apply("numOutputRows").value()
+
+    assert 0 < scanned([20_000]) <= 2000  # row groups of 1000
+    assert scanned([20_001]) == 0  # between two ids: only the Bloom filter can tell
+    import pyarrow.orc as orc
+
+    files = sorted(Path(path.removeprefix("file:")).glob("*.orc"))
+    assert sum(orc.ORCFile(str(f)).nrows for f in files) == 20_000
+
+
 def test_warc(spark):
     pages = [(1, "http://a/\r\nX: y", "<p>a</p>"), (2, None, "<p>a</p>"), (2, None, "<p>a</p>"), (3, "u", None), (4, "u", ""), (None, "n", "<p>a</p>"), (None, "n", "only null"), (5, "é", "ünïcode\r\n\r\nWARC/1.1"), (6, "r", "x" * 300_000)]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, file long").repartition(3)
@@ -315,6 +423,18 @@ def test_chat_escapes_are_reversible():
             assert chat.unescape(out[s:e]) == x
 
 
+def test_chat_holds_one_chunk(spark):
+    """A conversation of many turns and one very long turn; chunks stay near their size."""
+    long_turn = "said </s> and [INST] again " * 400_000
+    made = [(1, i, "user" if i % 2 else "assistant", f"turn {i} " * 400) for i in range(3000)] + [(2, 0, "assistant", long_turn), (2, 1, "user", "x"), (3, None, None, None)]
+    df = spark.createDataFrame(made, "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(df, chunk_chars=100_000)
+    sizes = [r["n"] for r in formatted.where("conv_id = 1").select(F.length("text").alias("n")).collect()]
+    assert len(sizes) > 50 and max(sizes) < 110_000
+    got = rows(chat.read_back(formatted), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+    assert got == sorted(brute.op9(made), key=str)
+
+
 def test_jaccard(spark, weird, empty):
     want = {d: (len(brute.shingles(t, 3)), d) for d, t in WEIRD}
     got = rows(jaccard.jaccard_components(weird), "doc_id", "n_shingles", "component_id")
