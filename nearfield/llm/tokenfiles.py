@@ -11,8 +11,10 @@ once by the library, and ids are joined as bytes. Texts outside the characters
 on which both regular-expression libraries agree go to the library as a whole.
 
 Defined results: a null text is an empty one and holds the end id alone;
-repeated ids follow each other in order of their texts; without documents the
-files are empty and are read back as no rows.
+repeated ids follow each other in order of a hash of their texts; null ids come first;
+without documents the files are empty and are read back as no rows. A very long
+text is encoded whole. Only id and text are read, so other columns may have any
+name. Equal rows lie in one part, which a task streams.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import unicodedata
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..session import partitions_of
 from .batches import as_bytes, slices
@@ -32,8 +34,12 @@ from .tokencount import AGREED, MARKS, byte_letters, letters_of
 #: How the word tokenizer cuts a normalised text.
 WORD_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Words a worker remembers; then it starts anew.
-REMEMBERED = 900_000
+#: Words a worker remembers, none longer than LONG characters; then it starts anew.
+REMEMBERED, LONG = 900_000, 64
+
+
+#: Where the totals of the parts lie, beside the files.
+PARTS = "_parts"
 
 
 class Encoder(dict):
@@ -79,7 +85,8 @@ class Encoder(dict):
         else:
             ids = [t.id for piece in self.find(word) for t in self.model.tokenize(letters_of(piece, self.letters))]
             out = struct.pack(f"<{len(ids)}I", *ids)
-        self[word] = out
+        if len(word) <= LONG:
+            self[word] = out
         return out
 
     def ids(self, text: str) -> bytes:
@@ -99,19 +106,23 @@ def encoder(path: str) -> Encoder:
 
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
-    """ORC files under path: id, ids, and where the document starts inside its part of the range.
+    """ORC files under path: id, number of ids, ids, and where the document starts inside its part of the range.
 
     Spark's committer makes the write atomic: a lost task is run again and only
-    committed files count.
+    committed files count. What each part holds is added up from the narrow
+    columns of the files and stored beside them, in a folder that scans skip.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    ordered = source.repartitionByRange(partitions or partitions_of(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash splits the rows of an id that very many share
+    text_hash = F.xxhash64("text")
+    ordered = source.repartitionByRange(partitions or partitions_of(spark), F.col("doc_id"), text_hash).sortWithinPartitions(F.col("doc_id"), text_hash, F.col("text"))
     schema = T.StructType(
         [
             source.schema["doc_id"],
             T.StructField("part", T.IntegerType()),
             T.StructField("start_in_part", T.LongType()),
+            T.StructField("n_tokens", T.LongType()),
             T.StructField("ids", T.ArrayType(T.IntegerType())),
         ]
     )
@@ -128,7 +139,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int,
             offsets = np.concatenate(([0], np.cumsum(np.array([len(c) // 4 for c in coded], np.int64))))
             values = pa.array(np.frombuffer(b"".join(coded), "<i4"))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.full(len(coded), part, np.int32)), pa.array(at + offsets[:-1]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)],
+                [b.column(0), pa.array(np.full(len(coded), part, np.int32)), pa.array(at + offsets[:-1]), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)],
                 names=schema.names,
             )
             at += int(offsets[-1])
@@ -143,26 +154,34 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, *, end_id: int,
         .option("orc.bloom.filter.fpp", 0.01)
         .orc(path)
     )
+    files = spark.read.orc(path)
+    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/{PARTS}")
+
+
+def _offsets(spark: SparkSession, path: str) -> dict[int, int]:
+    """How many ids stand before each part: one row for each partition of the writing exchange."""
+    at, out = 0, {}
+    for r in sorted(spark.read.parquet(f"{path}/{PARTS}").select("part", "n").collect(), key=lambda r: r["part"]):
+        out[r["part"]] = at
+        at += r["n"]
+    return out
 
 
-def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 from the files.
+def read_token_ids(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 from the files, stripe by stripe.
 
-    start adds up what the earlier parts hold, from one row for each part.
+    where, a condition on doc_id, goes into the scan, so stripes and groups of
+    rows that the file's statistics and Bloom filters rule out aren't read.
     """
     files = spark.read.orc(path)
-    # the last document of each part tells its size; parts are as many as the exchange had
-    totals = files.groupBy("part").agg(F.max(F.col("start_in_part") + F.size("ids")).alias("n"))
-    at, offsets = 0, {}
-    for r in sorted(totals.collect(), key=lambda r: r["part"]):
-        offsets[r["part"]] = at
-        at += r["n"]
+    offsets = _offsets(spark, path)
     schema = T.StructType([files.schema["doc_id"], T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches, 8192):
             ids = b.column(3)
             bounds = ids.offsets.to_numpy().astype(np.int64)
             values = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<u4")).cast("B")
@@ -170,4 +189,16 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(values[s * 4 : e * 4]) for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base + b.column(2).to_numpy()), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names=schema.names)
 
-    return files.select("doc_id", "part", "start_in_part", "ids").mapInArrow(run, schema)
+    return (files if where is None else files.where(where)).select("doc_id", "part", "start_in_part", "ids").mapInArrow(run, schema)
+
+
+def read_ids_of(spark: SparkSession, path: str, doc_ids: list) -> DataFrame:
+    """Point read: doc_id, start, n_tokens and the ids themselves, of a few documents.
+
+    The comparison reaches the ORC scan, which skips by the row indexes and Bloom
+    filters on doc_id; the offsets come from the table beside the files, so
+    nothing else is read.
+    """
+    files = spark.read.orc(path).where(F.col("doc_id").isin(doc_ids))
+    before = F.create_map(*[F.lit(x).cast(t) for part, n in _offsets(spark, path).items() for x, t in ((part, "int"), (n, "long"))] or [F.lit(-1), F.lit(0).cast("long")])
+    return files.select("doc_id", (before[F.col("part")] + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
