@@ -1,15 +1,18 @@
 """Token counts with a whole-token shortcut.
 
-Offline (once in a Python worker) the vocabulary is read: a string of it whose
-encoding is that one token is *whole*. A text is cut into pre-tokens as the
-tokenizer cuts it; a whole pre-token counts 1 by a dictionary lookup, and only
-the rest is merged, by the tokenizer itself, each distinct pre-token once.
+Offline (once, on the driver) the vocabulary is read: a string of it whose
+encoding is that one token is *whole*. The whole strings, at most as many as the
+vocabulary has, are broadcast. A text is cut into pre-tokens as the tokenizer
+cuts it; a whole pre-token counts 1 by a dictionary lookup, and only the rest is
+merged, by the tokenizer itself, each distinct pre-token once.
 
 Texts with characters that Unicode has assigned at different times for the two
 regular-expression libraries are given to the tokenizer as a whole.
 
 Defined results: a null text is an empty one and has 0 tokens; repeated rows
-each give a row.
+each give a row, ties don't arise; without documents there are no rows. A very
+long text is counted whole, in memory of a few times its size. Kept columns give
+way to a computed one of the same name.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 AGREED = r"\x00-ͷЀ-ԯؠ-ە -⁯₠-₿　-〩ぁ-ゖ゠-ヾ一-龥가-힣\U0001f300-\U0001f5ff\U0001f600-\U0001f64f"
 #: Marks that are a pre-token of their own behind a word.
 MARKS = frozenset(".,;:!?")
-#: Units a worker remembers; then it starts anew.
-REMEMBERED = 500_000
+#: Units a worker remembers; then it starts anew. Longer ones than LONG characters are rare and aren't remembered, so bytes are bounded too.
+REMEMBERED, LONG = 500_000, 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -59,7 +62,8 @@ class Counter(dict):
     text with other white space is cut by the regular expression instead.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str] | None = None):
+        """whole: what prove() gave for this tokenizer before; without it the proof is made here."""
         import regex
         from tokenizers import Tokenizer
 
@@ -78,7 +82,7 @@ class Counter(dict):
         self.other_space = regex.compile(r"[^\S \n]|[\x1c-\x1f]").search
         self.letters = byte_letters()
         #: pre-tokens that are proved to be one token
-        self.whole: frozenset[str] = frozenset(self.prove(said["model"]["vocab"])) if self.plain else frozenset()
+        self.whole: frozenset[str] = frozenset() if not self.plain else frozenset(self.prove(said["model"]["vocab"])) if whole is None else whole
         self.feed = self.tokens_of("\n") if self.plain else 0
         self.start()
 
@@ -117,7 +121,8 @@ class Counter(dict):
             n = self[unit[:-1]] + self.tokens_of(unit[-1])
         else:
             n = sum(map(self.tokens_of, self.find(unit if unit[0] == "\n" else " " + unit)))
-        self[unit] = n
+        if len(unit) <= LONG:
+            self[unit] = n
         return n
 
     def ordinary(self, text: str) -> int:
@@ -155,20 +160,22 @@ def letters_of(piece: str, letters: dict[int, str]) -> str:
 _COUNTERS: dict[str, Counter] = {}
 
 
-def counter(path: str) -> Counter:
+def counter(path: str, whole: frozenset[str] | None = None) -> Counter:
+    """The counter of this process for a tokenizer; it keeps what it remembers from task to task."""
     if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
+        _COUNTERS[path] = Counter(path, whole)
     return _COUNTERS[path]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, *, limit: int = 512, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """n_bytes, n_tokens and over_limit (more than limit tokens) for each document.
 
-    tokenizer is a path that every executor can open.
+    tokenizer is a path that the driver and every executor can open.
     """
+    proved = docs.sparkSession.sparkContext.broadcast(counter(tokenizer).whole)
 
     def make():
-        c = counter(tokenizer)
+        c = counter(tokenizer, proved.value)
 
         def score(texts):
             n = [c.count(t.decode()) if t else 0 for t in texts]
