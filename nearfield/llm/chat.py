@@ -5,16 +5,22 @@ and deterministic: a turn begins with exactly one of the opening marks and ends
 at the first closing mark of that role. Before a turn is kept, it is parsed
 again and compared with its source; content that conflicts with the grammar (a
 mark, or something that looks like an escaped mark) is escaped by one backslash
-behind the mark's first character, until source and parse are identical.
-Escaping is a bijection, so what is read back is the source.
+behind the mark's first character. Escaping is a bijection, so what is read
+back is the source: one pass makes source and parse identical, which is checked
+for every turn.
 
-Rows are streamed in order of (conversation, turn, role, text), so memory holds
-one turn and one chunk, however long a conversation is. A conversation comes
-out as chunks of whole turns of about `chunk_chars` characters.
+Rows are streamed in order of (conversation, turn, role, text). A conversation
+comes out as chunks of whole turns of about `chunk_chars` characters, and what
+is finished goes on when it comes to as much, so memory holds about one chunk
+and one slice of rows, however long a conversation is; a very long turn is a
+chunk of its own. The digests of a conversation are chains over its turns, so a
+conversation is one task's, which streams it; different ones share nothing.
 
 Defined results: a null role or text is an empty one; rows with equal turns
 follow in order of role and text; repeated rows are turns each; a null
-conversation id is a conversation of its own.
+conversation id is a conversation of its own; without rows there are no chunks
+and no conversations. Only conv_id, turn, role and text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .batches import slices
+
 #: The marks of this template.
 MARKS = {
     "system": ("<<SYS>>\n", "\n<</SYS>>\n"),
@@ -77,18 +85,24 @@ def parse(rendered: str) -> Iterator[tuple[str, str, int, int]]:
         at = to + len(end)
 
 
+def recovered(rendered: str) -> list[tuple[str, str]] | None:
+    """The turns that the grammar finds, unescaped; None if it doesn't hold."""
+    try:
+        return [(r, unescape(t)) for r, t, _, _ in parse(rendered)]
+    except ValueError:
+        return None
+
+
 def render_safely(role: str, text: str) -> tuple[str, int, int]:
-    """render(), with the text escaped as far as the round trip needs it."""
-    body = escape(text)
-    for _ in range(3):
-        out = render(role, body)
-        try:
-            if [(r, unescape(t)) for r, t, _, _ in parse(out[0])] == [(role, text)]:
-                return out
-        except ValueError:
-            pass
-        body = escape(body)
-    raise ValueError(f"a turn of role {role!r} can't be told from its marks")
+    """render(), with every control string inside the text escaped, and the source recovered by the grammar.
+
+    Escaping changes every conflict at once and unescape() is its inverse, so
+    one pass makes source and parse identical; each turn is checked for it.
+    """
+    out = render(role, escape(text))
+    if recovered(out[0]) != [(role, text)]:
+        raise ValueError(f"a turn of role {role!r} can't be told from its marks")
+    return out
 
 
 FORMATTED = T.StructType(
@@ -125,15 +139,16 @@ def format_conversations(conversations: DataFrame, *, loss_roles: tuple[str, ...
     ordered = rows.repartition(F.col("conv_id")).sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches):
-        out, key, number, parts, size, spans, begun = [], None, 0, [], 0, [], False
-        for b in batches:
+        out, held, key, number, parts, size, spans, begun = [], 0, None, 0, [], 0, [], False
+        for b in slices(batches):
             for conv, role, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if begun and (conv != key or size >= chunk_chars):
                     out.append((key, number, "".join(parts), spans))
+                    held += size
                     number, parts, size, spans = number + 1, [], 0, []
-                    if len(out) >= 256:
+                    if held >= chunk_chars or len(out) >= 4096:
                         yield _emit(out, FORMATTED)
-                        out = []
+                        out, held = [], 0
                 if not begun or conv != key:
                     key, number, begun = conv, 0, True
                 piece, start, end = render_safely(role, text)
@@ -163,7 +178,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     def run(batches):
         out, now = [], None
-        for b in batches:
+        for b in slices(batches, 256):
             for conv, text, spans in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if now is None or conv != now.key:
                     if now is not None:
