@@ -17,7 +17,9 @@ Defined results: a null html is an empty payload; a null url is `about:blank`;
 control characters in urls are percent-encoded; a null page id is written
 without an id and read back as null; it is never a response that others refer
 to unless all its copies have null ids; repeated rows (same id and payload) are
-one response, the rest revisits of it; without pages no file is written.
+one response, the rest revisits of it; without pages no file is written. A very
+long page is a record like others: memory holds one record and one slice of
+rows. Only id, url and html are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import partitions_of
-from .batches import as_bytes
+from .batches import slices, written
 
 MANIFEST = T.StructType(
     [
@@ -139,9 +141,11 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     spark = pages.sparkSession
     html = F.encode(F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")), "UTF-8")
     source = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), html.alias("html"))
-    keyed = source.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= min_bytes)
-    # one row for each payload with two pages or more: partial sums first, so a hot payload is a row for each task
-    firsts = keyed.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select("digest", "first")
+    # digests as a table, so that they are computed once
+    keyed = written(source.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= min_bytes), "digests")
+    # one row for each payload with two pages or more: partial sums first, so a hot payload is a row for each task;
+    # a table again, so that the join can split the pages of a hot payload
+    firsts = written(keyed.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select("digest", "first"), "firsts")
     revisits = keyed.join(firsts, "digest").groupBy("page_id", "digest").agg(F.first("first").alias("first"))
     merged = source.select("page_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first"), "url", "html").unionByName(
         revisits.select("page_id", F.lit(0).alias("kind"), "digest", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"))
@@ -157,7 +161,7 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
         t = TaskContext.get()
         roller = _Roller(archives, t.partitionId(), t.taskAttemptId(), roll_bytes)
         done, now, targets, written = [], object(), {}, {}
-        for b in batches:
+        for b in slices(batches):
             ids, kinds, digests, firsts, urls, htmls = (b.column(i).to_pylist() for i in range(6))
             for page, kind, digest, first, url, payload in zip(ids, kinds, digests, firsts, urls, htmls, strict=True):
                 if page != now:
@@ -166,11 +170,12 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
                     targets[digest] = first
                     continue
                 payload = payload or b""
-                hexed = hashlib.sha1(payload).hexdigest()
+                sha = hashlib.sha1(payload).digest()
+                hexed = sha.hex()
                 copy = written[hexed] = written.get(hexed, -1) + 1
                 # the response is the first copy of the smallest page
                 revisit = hexed in targets and (targets[hexed] != page or copy > 0)
-                data = record(page, url, payload, sha1_base32(payload), targets.get(hexed), revisit, copy, date)
+                data = record(page, url, payload, base64.b32encode(sha).decode(), targets.get(hexed), revisit, copy, date)
                 if file := roller.add(page, data):
                     done.append(file)
         if file := roller.close():
