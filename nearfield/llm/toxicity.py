@@ -2,9 +2,11 @@
 
 Terms are the distinct lower-cased words of a text and their prefixes of four
 and five characters, hashed to `2 ** bits` buckets; presence counts, not
-frequency. Terms that lean towards toxic rows of the sample get weights; the
-others weigh nothing. The machine scores  b + sum w_i + sum_{i<j} <v_i, v_j>, so a pair
-such as an insult with a group mention can weigh more than its parts.
+frequency. The machine scores  b + sum w_i + sum_{i<j} <v_i, v_j>, so a pair such
+as an insult with a group mention can weigh more than its parts, or less.
+Weights w go to terms that lean towards toxic rows of the sample; factors v to
+these and to the terms beside them that change the share of toxic rows there,
+whatever they say alone. All others weigh nothing.
 
 It is fitted on the driver on a bounded sample of labelled rows: at most about
 `max_train` rows, taken by a hash of the id, whatever the size of the corpus.
@@ -13,8 +15,12 @@ Scoring is one pass over all texts with the fitted arrays broadcast (a fixed
 number of bytes).
 
 Defined results: a null or empty text has no terms and scores as the bias says;
-labelled rows with a null label or id are ignored; if an id has several labels,
-1 wins; without any positive label every score is 0; repeated rows each give a row.
+a very long text is the set of its terms like others; labelled rows with a null
+label or id are ignored; if an id has several labels, 1 wins; if it has several
+texts, the one with the smallest hash is the sample's; without any positive
+label every score is below 1e-12; repeated rows each give a row; without
+documents there are no rows. Kept columns give way to a computed one of the
+same name.
 """
 
 from __future__ import annotations
@@ -29,7 +35,8 @@ from .batches import as_bytes, map_texts, slices
 from .words import alnum_words
 
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-REMEMBERED = 250_000
+#: Words a task remembers, none longer than LONG bytes; then it starts anew.
+REMEMBERED, LONG = 250_000, 64
 
 
 class Terms(dict):
@@ -48,7 +55,8 @@ class Terms(dict):
         out = tuple(zlib.crc32(f) & self.mask for f in forms)
         if self.picked is not None:
             out = tuple(b for b in out if self.picked[b])
-        self[word] = out
+        if len(word) <= LONG:
+            self[word] = out
         return out
 
     def of(self, text: bytes | None) -> np.ndarray:
@@ -80,14 +88,16 @@ def sigmoid(x):
 
 
 def lean(rows: list[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
-    """How many standard deviations a term's share of toxic rows lies above that of the sample."""
+    """How many standard deviations a term's share of toxic rows lies above that of the rows; -inf for terms in one row or none."""
+    if not rows:
+        return np.full(n, -np.inf)
     seen = np.bincount(np.concatenate(rows), minlength=n).astype(np.float64)
     toxic = np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t] or [np.empty(0, np.int32)]), minlength=n)
     share = float(y.mean())
     return np.where(seen > 1, (toxic - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9)), -np.inf)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, *, bits: int, rank: int = 4, epochs: int = 12, rate: float = 0.15, l2: float = 2e-5, least_lean: float = 4.0, batch: int = 256, seed: int = 7) -> Machine:
+def fit(rows: list[np.ndarray], y: np.ndarray, *, bits: int, rank: int = 4, epochs: int = 12, rate: float = 0.15, l2: float = 2e-5, least_lean: float = 4.0, context: float = 4.0, batch: int = 256, seed: int = 7) -> Machine:
     """AdaGrad on the logistic loss over mini-batches, rows in a seeded order."""
     rng = np.random.Generator(np.random.PCG64(seed))
     n = 1 << bits
@@ -99,7 +109,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, *, bits: int, rank: int = 4, epoc
         return Machine(bits, -30.0, w, v * 0, np.zeros(n, bool))
     # only terms that stand in toxic rows more often than chance allows get weights, so that a long text isn't
     # judged by the sum of thousands of terms that say nothing
-    picked = lean(rows, y, n) >= least_lean
+    leaning = lean(rows, y, n) >= least_lean
+    # terms that say nothing by themselves keep their factors if they change what rows with a leaning term are:
+    # a context that makes an insult worse, or harmless
+    beside = [i for i, r in enumerate(rows) if leaning[r].any()]
+    within = lean([rows[i] for i in beside], y[beside], n)
+    picked = leaning | (np.isfinite(within) & (np.abs(within) >= context))
     rows = [r[picked[r]] for r in rows]
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -123,7 +138,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, *, bits: int, rank: int = 4, epoc
             dv = np.stack([np.bincount(back, part[:, k], len(u)) for k in range(rank)], 1).astype(np.float32) + l2 * v[u] * batch
             gw[u] += dw * dw
             gv[u] += dv * dv
-            w[u] -= rate * dw / np.sqrt(gw[u])
+            w[u] -= np.where(leaning[u], rate * dw / np.sqrt(gw[u]), 0)
             v[u] -= 0.3 * rate * dv / np.sqrt(gv[u])
             db = float(err.sum())
             gb += db * db
@@ -148,7 +163,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
     n = known.count()
     if n > max_train:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(max_train / n * (1 << 30)))
-    sample = docs.select(key.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(known), "id").select("id", "y", "text")
+    sample = docs.select(key.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(known), "id").select("id", "y", "text", F.xxhash64("text").alias("order"))
 
     def extract(batches):
         import pyarrow as pa
@@ -156,9 +171,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
         terms = Terms(bits)
         for b in slices(batches):
             found = [terms.of(t) for t in as_bytes(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array([f.tobytes() for f in found], pa.binary())], names=["id", "y", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array([f.tobytes() for f in found], pa.binary()), b.column(3)], names=["id", "y", "terms", "order"])
 
-    rows = sample.mapInArrow(extract, "id string, y int, terms binary").dropDuplicates(["id"]).collect()
+    rows = sample.mapInArrow(extract, "id string, y int, terms binary, order long").groupBy("id").agg(F.max("y").alias("y"), F.min_by("terms", "order").alias("terms")).collect()
     rows.sort(key=lambda r: r["id"])
     return [np.frombuffer(bytes(r["terms"]), np.int32) for r in rows], np.array([1.0 if r["y"] > 0 else 0.0 for r in rows], np.float32)
 
