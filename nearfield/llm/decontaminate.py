@@ -14,7 +14,10 @@ broadcast is bounded; each batch of documents meets the blocks one by one.
 
 Defined results: a null or empty text has no words and no hits; null item ids
 and item texts without words match nothing; repeated document rows each give a
-row; repeated item ids count once; with an empty benchmark nothing is hit.
+row; repeated item ids count once; with an empty benchmark nothing is hit;
+without documents there are no rows. A very long text is a shard of its own, in
+memory of a few times its size. Kept columns give way to a computed one of the
+same name; the filter keeps all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -137,8 +140,13 @@ def find(text: np.ndarray, p: Patterns) -> tuple[np.ndarray, np.ndarray]:
     _, first, back = np.unique(p.window, return_index=True, return_inverse=True)
     begins, sizes = p.start[first], p.length[first]
     grid = p.pool[np.minimum(begins[:, None] + np.arange(p.depth), len(p.pool) - 1)].astype(np.int64)
-    lo = _bounds(text, sa, grid, sizes, False)
-    hi = _bounds(text, sa, grid, sizes, True)
+    # a window with a word that the shard hasn't can't be found, and most have one
+    held = np.zeros(len(p.vocab) + 1, bool)
+    held[text] = True
+    some = np.flatnonzero((held[grid] | (np.arange(p.depth) >= sizes[:, None])).all(1))
+    lo, hi = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    lo[some] = _bounds(text, sa, grid[some], sizes[some], False)
+    hi[some] = _bounds(text, sa, grid[some], sizes[some], True)
     n = (hi - lo)[back]
     which = np.repeat(np.arange(len(back)), n)
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)

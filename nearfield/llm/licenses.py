@@ -11,8 +11,11 @@ suffixes of its strings.
 Words that no template has lead back to the start, so only runs of known words
 are streamed; those before, between and after are skipped in bulk.
 
-Defined results: a null or empty text has no words, no labels and score 0;
-repeated rows each give a row; overlapping phrase places all count.
+Defined results: a null or empty text has no words, no labels and score 0; a
+very long text is scanned whole, in memory of a few times its size; repeated
+rows each give a row; overlapping phrase places all count; of equal shares the
+score is the same, and spans come in order; without documents there are no
+rows. Kept columns give way to a computed one of the same name.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from .words import alnum_words
 #: Phrases that name a license, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Well-known public license texts (opening grants and notices).
+#: Public license texts as words. MIT, BSD (three clauses) and ISC are whole; Apache, GPL and MPL are the
+#: notices that files carry, their bodies being many pages. More can be given as a parameter.
 TEMPLATES = {
     "mit": (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
@@ -36,7 +40,9 @@ TEMPLATES = {
         "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to "
         "the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial "
         "portions of the software the software is provided as is without warranty of any kind express or implied including but not limited "
-        "to the warranties of merchantability fitness for a particular purpose and noninfringement"
+        "to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright "
+        "holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or "
+        "in connection with the software or the use or other dealings in the software"
     ),
     "apache": (
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may "
@@ -55,7 +61,14 @@ TEMPLATES = {
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions "
         "are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
         "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in "
-        "the documentation and or other materials provided with the distribution"
+        "the documentation and or other materials provided with the distribution neither the name of the copyright holder nor the names of "
+        "its contributors may be used to endorse or promote products derived from this software without specific prior written permission "
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not "
+        "limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the "
+        "copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including "
+        "but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused "
+        "and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out "
+        "of the use of this software even if advised of the possibility of such damage"
     ),
     "mpl": (
         "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with "
@@ -63,7 +76,11 @@ TEMPLATES = {
     ),
     "isc": (
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that "
-        "the above copyright notice and this permission notice appear in all copies"
+        "the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims "
+        "all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the "
+        "author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data "
+        "or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or "
+        "performance of this software"
     ),
 }
 

@@ -7,7 +7,10 @@ is a bitwise aggregation over the few distinct masks.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Defined results: a null or empty text has no
 words, so only the rules that ask for a least size fail; ratios of nothing are 0;
-repeated rows each give a row.
+a very long text is measured whole, in memory of a few times its size; repeated
+rows each give a row; without documents the ledger, the filter and the ablations
+have no rows. Kept columns of the ledger give way to a computed one of the same
+name; the filter keeps all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
