@@ -13,6 +13,10 @@ from ..functions import text as X
 TIE_DIGITS = 9
 
 
+#: Terms of a table of queries that are broadcast; more are joined by a shuffle.
+MANY_TERMS = 200_000
+
+
 def query_terms(query: str, min_length: int = 1, lowercase: bool = True) -> list[str]:
     """The distinct terms of a query, in order; how often a term stands in it doesn't matter."""
     q = query.lower() if lowercase else query
@@ -80,7 +84,11 @@ def search_many(docs: DataFrame, queries: DataFrame, k: int = 10, *, key: str =
     """(query_id, key, score, rank) for a table of queries, joined by term."""
     q = queries.select(F.col(query_key).alias("query_id"), F.explode(F.array_distinct(X.tokens(F.col(query_text)))).alias("term"))
     needed = q.select("term").distinct()
-    postings = term_frequencies(docs, key, text).join(needed, "term", "left_semi")
+    if needed.count() <= MANY_TERMS:
+        needed = F.broadcast(needed)  # so that other tokens go before anything is shuffled
+    t = X.tokens(F.col(text))
+    each = docs.select(key, t.alias("tokens")).select(key, F.inline(F.arrays_zip("tokens", F.array_repeat(F.size("tokens"), F.size("tokens")))).alias("term", "dl"))
+    postings = each.join(needed, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").cast("long").alias("dl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(docs, text)
     weighted = postings.join(df, "term").join(F.broadcast(stats)).select("term", key, (X.idf(F.col("n"), F.col("df")) * X.weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)).alias("w"))

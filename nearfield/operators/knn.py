@@ -11,6 +11,8 @@ from ..functions import vectors as V
 
 #: A block of queries that is broadcast: rows and bytes are bounded by this many floats.
 BLOCK_FLOATS = 4_000_000
+#: Distances that a task holds at a time, queries times rows.
+MATRIX_CELLS = 8_000_000
 
 
 def rank_hits(hits: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
@@ -66,9 +68,10 @@ def search_batch(
 ) -> DataFrame:
     """(query_id, key, distance, rank): the k nearest rows for each query.
 
-    Queries are taken in blocks of bounded size. A block is broadcast; each
-    Arrow batch of rows is one matrix product, of which k candidates for each
-    query go on, so the shuffle carries k rows for each query and batch.
+    Queries are taken in blocks of bounded size. A block is broadcast; of each
+    Arrow batch of rows k candidates for each query go on, so the shuffle carries
+    k rows for each query and batch. The distances of a batch are computed for as
+    many queries at a time as MATRIX_CELLS allows.
     """
     spark = docs.sparkSession
     queries = queries.select(F.col(query_key).alias("query_id"), F.col(query_vector).alias("query_vector"))
@@ -109,6 +112,21 @@ def distances(matrix: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     return np.where(size < V.TINY, 1.0, 1.0 - product / np.maximum(size, V.TINY))
 
 
+def nearest(d: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k least of each row, in order; of equals the first columns.
+
+    The k-th value is found without sorting; only columns up to it are ordered.
+    """
+    if d.shape[1] <= 4 * k:
+        return np.argsort(d, axis=1, kind="stable")[:, :k]
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    out = np.empty((len(d), k), np.int64)
+    for i in range(len(d)):
+        near = np.flatnonzero(d[i] <= edge[i])
+        out[i] = near[np.argsort(d[i][near], kind="stable")[:k]]
+    return out
+
+
 def _one_block(docs: DataFrame, block, schema: T.StructType, k: int, metric: str, exclude_same: bool) -> DataFrame:
     def run(frames):
         import pandas as pd
@@ -122,16 +140,19 @@ def _one_block(docs: DataFrame, block, schema: T.StructType, k: int, metric: str
                 continue
             keys = f.iloc[:, 0].to_numpy()
             rows = np.stack(f.iloc[:, 1].to_numpy()).astype(np.float64)
-            d = distances(matrix, rows, metric)
-            if exclude_same:
-                d[np.array(names, dtype=object)[:, None] == keys[None, :].astype(object)] = np.inf
             order = np.argsort(keys, kind="stable")
-            d, keys = d[:, order], keys[order]
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            at = np.arange(len(names))[:, None]
-            got = pd.DataFrame({"q": np.repeat(np.arange(len(names)), top.shape[1]), "key": keys[top].ravel(), "d": d[at, top].ravel()})
-            got = got[np.isfinite(got["d"])]
-            yield pd.DataFrame({schema.names[0]: [names[i] for i in got["q"]], schema.names[1]: got["key"].to_numpy(), "distance": got["d"].to_numpy()})
+            keys, rows = keys[order], rows[order]
+            step = max(1, MATRIX_CELLS // len(keys))
+            for at in range(0, len(names), step):
+                part = names[at : at + step]
+                d = distances(matrix[at : at + step], rows, metric)
+                if exclude_same:
+                    d[np.array(part, dtype=object)[:, None] == keys[None, :].astype(object)] = np.inf
+                top = nearest(d, k)
+                q = np.repeat(np.arange(len(part)), top.shape[1])
+                got = d[q, top.ravel()]
+                on = np.isfinite(got)
+                yield pd.DataFrame({schema.names[0]: [part[i] for i in q[on]], schema.names[1]: keys[top.ravel()[on]], "distance": got[on]})
 
     return docs.mapInPandas(run, schema)
 

@@ -42,11 +42,40 @@ def compare_runs(baseline: DataFrame, current: DataFrame, threshold: float = 0.1
     return b.join(c, F.col("b.name") == F.col("c.name")).select(F.col("b.name").alias("name"), ops.alias("ops_change"), p95.alias("p95_change"), verdict.alias("verdict"))
 
 
+def label(value: Column) -> Column:
+    """A label's value as the text format wants it: backslash, quote and line feed escaped; null is empty."""
+    v = F.coalesce(value.cast("string"), F.lit(""))
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        v = F.replace(v, F.lit(plain), F.lit(escaped))
+    return v
+
+
 def prometheus(rows: DataFrame, metric: str, value: Column, labels: dict[str, Column]) -> DataFrame:
     """Lines of the text exposition format."""
-    pairs = F.concat_ws(",", *[F.concat(F.lit(f'{k}="'), v.cast("string"), F.lit('"')) for k, v in labels.items()])
+    pairs = F.concat_ws(",", *[F.concat(F.lit(f'{k}="'), label(v), F.lit('"')) for k, v in labels.items()])
     return rows.select(F.concat(F.lit(metric + "{"), pairs, F.lit("} "), value.cast("string")).alias("line"))
 
 
+def prometheus_histogram(values: DataFrame, metric: str, value: str, bounds=SEARCH_BUCKETS, by: str | None = None) -> DataFrame:
+    """The lines of a histogram: one for each bound and +Inf, then _sum and _count (sums in whole microseconds of seconds)."""
+    keys = [by] if by else []
+    own = {by: F.col(by)} if by else {}
+    buckets = prometheus(histogram(values, value, bounds, by), f"{metric}_bucket", F.col("n"), own | {"le": F.col("le")})
+    micros = F.sum(F.round(F.col(value) * 1_000_000).cast("long"))
+    ends = values.groupBy(*keys).agg(F.coalesce(micros, F.lit(0)).alias("us"), F.count(value).alias("n"))
+    return buckets.unionByName(prometheus(ends, f"{metric}_sum", F.col("us"), own)).unionByName(prometheus(ends, f"{metric}_count", F.col("n"), own))
+
+
+def observed(rows: DataFrame, name: str, value: str | None = None):
+    """(rows, observation): counted while they are used elsewhere, in the same pass; observation.get has n (and total and largest of value)."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    cells = [F.count("*").alias("n")]
+    if value:
+        cells += [F.sum(value).alias("total"), F.max(value).alias("largest")]
+    return rows.observe(seen, *cells), seen
+
+
 def average_degree(graph: DataFrame, neighbours: str = "neighbours") -> DataFrame:
     return graph.agg(F.avg(F.size(neighbours)).alias("average_degree"))

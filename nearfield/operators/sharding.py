@@ -64,6 +64,46 @@ def read_shard(spark: SparkSession, path: str, key_value, shards: int) -> DataFr
     return spark.read.parquet(path).where(F.col("shard") == shard)
 
 
+def read_key(spark: SparkSession, path: str, key_value, shards: int, key: str = "key") -> DataFrame:
+    """The rows of one key: one folder is read, and the comparison goes into its scan."""
+    return read_shard(spark, path, key_value, shards).where(F.col(key) == F.lit(key_value)).drop("shard")
+
+
+def move_shards(spark: SparkSession, path: str, to: str, old: int, new: int, key: str = "key") -> DataFrame:
+    """Rewrites a sharded folder for another number of shards; returns (old_shard, new_shard, rows) as moved.
+
+    Every row is moved, none is left behind. The old folder stays until the caller
+    drops it, so readers aren't disturbed.
+    """
+    if old == new:
+        raise ValueError("same_shard_count")
+    rows = spark.read.parquet(path)
+    write_sharded(rows.drop("shard"), to, new, key)
+    return spark.read.parquet(to).groupBy(shard_for_key(F.col(key), old).alias("old_shard"), F.col("shard").cast("long").alias("new_shard")).agg(F.count("*").alias("rows"))
+
+
+def replay_keys(log: DataFrame) -> DataFrame:
+    """(key, tenant_id, created_seq) of the keys that exist after a log of (seq, op, key, tenant_id): create, delete.
+
+    Creating a key that exists has no effect: of the creates behind the last delete the first counts.
+    """
+    gone = F.coalesce(F.max(F.when(F.col("op") == "delete", F.col("seq"))).over(Window.partitionBy("key")), F.lit(-1))
+    live = log.withColumn("gone", gone).where((F.col("op") == "create") & (F.col("seq") > F.col("gone")))
+    return live.groupBy("key").agg(F.min_by("tenant_id", "seq").alias("tenant_id"), F.min("seq").alias("created_seq"))
+
+
+def replay_quotas(log: DataFrame) -> DataFrame:
+    """(tenant_id, vectors) after a log of (seq, op, tenant_id, n): init sets the counter to 0, incr and decr change it, never below 0."""
+    w = Window.partitionBy("tenant_id")
+    reset = F.coalesce(F.max(F.when(F.col("op") == "init", F.col("seq"))).over(w), F.lit(-1))
+    live = log.withColumn("reset", reset).where("seq > reset OR op = 'init' AND seq = reset")
+    n = F.coalesce("n", F.lit(0))
+    delta = F.when(F.col("op") == "incr", n).when(F.col("op") == "decr", -n).otherwise(0)
+    upto = Window.partitionBy("tenant_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    sums = live.withColumn("s", F.sum(delta).over(upto))
+    return sums.groupBy("tenant_id").agg((F.max_by("s", "seq") - F.least(F.min("s"), F.lit(0))).cast("long").alias("vectors"))
+
+
 def replay_collections(log: DataFrame) -> DataFrame:
     """Collections after a log of (seq, op, name, status): create, update, delete.
 
@@ -82,3 +122,9 @@ def replay_membership(log: DataFrame) -> DataFrame:
     """Each node's last state of a log of (seq, node, op): join, status changes, leave."""
     last = log.groupBy("node").agg(F.max_by("op", "seq").alias("state"), F.max("seq").alias("version"))
     return last.where("state <> 'leave'")
+
+
+def silent_nodes(heartbeats: DataFrame, now: Column, most_seconds: float = 30.0) -> DataFrame:
+    """(node, last, silent): when each node of (node, ts) was heard last, and whether that is longer ago than allowed."""
+    last = heartbeats.groupBy("node").agg(F.max("ts").alias("last"))
+    return last.withColumn("silent", now.cast("double") - F.col("last").cast("double") > F.lit(most_seconds))

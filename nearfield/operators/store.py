@@ -15,10 +15,10 @@ def latest(rows: DataFrame, key: str = "key", version: str = "seq") -> DataFrame
     """The row with the highest version of each key.
 
     An aggregation, so earlier versions fall together before the shuffle. Rows
-    of one key and version that differ are ordered by their other columns.
+    of one key and version that differ are ordered by a hash of their other columns.
     """
     plain = [f.name for f in rows.schema.fields if f.name not in (key, version) and not _has_map(f.dataType)]
-    order = F.struct(version, *plain)
+    order = F.struct(version, F.xxhash64(*plain)) if plain else F.struct(version)
     newest = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("row"))
     return newest.select(key, "row.*").select(*rows.columns)
 
@@ -80,6 +80,32 @@ def equals(conditions: dict[str, object], metadata: Column | None = None) -> Col
     return reduce(and_, each, F.lit(True))
 
 
+def json_equals(conditions: dict[str, object], json: Column) -> Column:
+    """equals() on JSON text, strict in type: 1 isn't "1", true isn't "true", 1 isn't 1.0, and null only equals null.
+
+    A key that is missing, or JSON that is broken, never matches.
+    """
+    doc = F.try_parse_json(json)
+
+    def one(key: str, want) -> Column:
+        mark = '"' if "'" in key else "'"
+        if mark in key:
+            raise ValueError(f"a key can't have both kinds of quotes: {key!r}")
+        at = F.variant_get(doc, f"$[{mark}{key}{mark}]", "variant")
+        kind = F.schema_of_variant(at)
+        if want is None:
+            return F.is_variant_null(at)
+        if isinstance(want, bool):
+            return (kind == "BOOLEAN") & (F.try_variant_get(at, "$", "boolean") == F.lit(want))
+        if isinstance(want, int):
+            return (kind == "BIGINT") & (F.try_variant_get(at, "$", "bigint") == F.lit(want))
+        if isinstance(want, float):
+            return (kind.startswith("DECIMAL") | (kind == "DOUBLE")) & (F.try_variant_get(at, "$", "double") == F.lit(want))
+        return (kind == "STRING") & (F.try_variant_get(at, "$", "string") == F.lit(want))
+
+    return reduce(and_, [F.coalesce(one(k, v), F.lit(False)) for k, v in conditions.items()], F.lit(True))
+
+
 def stats(docs: DataFrame, *, text: str = "text", vector: str | None = None) -> DataFrame:
     """One row of figures of a collection."""
     cells = [F.count("*").alias("documents"), F.coalesce(F.sum(X.token_count(F.col(text))), F.lit(0)).alias("total_tokens"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long").alias("text_bytes")]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import bm25, fusion
-from ..session import table
+from ..operators import bm25, fusion, postings
+from ..session import shared_dir, table
 from .registry import query
 from .vector_queries import _COS, _Q, embeddings, vector_of
 
@@ -130,6 +132,38 @@ def bm25_block_max_search(spark, sf_dir):
     return _rounded(found)
 
 
+def _stored(spark, sf_dir):
+    path = f"{shared_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
+    postings.build(documents(spark, sf_dir), path, key="doc_id")
+    return postings.StoredIndex(spark, path)
+
+
+@query(_top_sql(QUERY))
+def bm25_stored_search(spark, sf_dir):
+    """The index is written, and searched by its blocks."""
+    found, _ = _stored(spark, sf_dir).search(QUERY, 10)
+    return _rounded(found.withColumnRenamed("key", "doc_id"))
+
+
+@query(f"WITH {_TOK}, {_TF}, p AS (SELECT DISTINCT term, (doc_id // 4096) AS range FROM tf WHERE term IN ({_terms_sql(LICENSE)})) SELECT 3 AS query_terms, count(*) AS blocks_total, TRUE AS adds_up FROM p")
+def bm25_skip_figures(spark, sf_dir):
+    """Blocks of the query's terms; what is skipped and scanned adds up."""
+    _, figures = _stored(spark, sf_dir).search(LICENSE, 10)
+    return figures.select("query_terms", "blocks_total", (F.col("blocks_scanned") + F.col("blocks_skipped") == F.col("blocks_total")).alias("adds_up"))
+
+
+@query(f"WITH {_TOK}, {_TF}, {_DL}, p AS (SELECT term, doc_id // 4096 AS range, count(*) AS c FROM tf GROUP BY ALL) SELECT (SELECT count(*) FROM dl) AS n, (SELECT CAST(sum(dl) AS BIGINT) FROM dl) AS total_tokens, (SELECT round(avg(dl), 6) FROM dl) AS avgdl, count(DISTINCT term) AS vocabulary, CAST(sum(c) AS BIGINT) AS postings, count(*) AS blocks FROM p")
+def bm25_index_info(spark, sf_dir):
+    return _stored(spark, sf_dir).info().withColumn("avgdl", F.round("avgdl", 6))
+
+
+@query("SELECT doc_id AS key, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM documents")
+def id_dictionary(spark, sf_dir):
+    """Dense numbers for ids, and back."""
+    shared_dir(spark)
+    return postings.number_ids(documents(spark, sf_dir), "doc_id").select("key", "number")
+
+
 _SHARD = "CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 4"
 
 

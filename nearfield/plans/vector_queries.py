@@ -284,17 +284,24 @@ def codec_errors(spark, sf_dir):
     return out
 
 
+def _asked(e):
+    """Every fiftieth id as a query."""
+    return e.where("vec_id % 50 = 0 AND embedding IS NOT NULL").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+def _exact(e, asked):
+    return knn.search_batch(e, asked, 10, key="vec_id", vector="embedding").withColumnRenamed("query_id", "query")
+
+
 def _graph_recall(kind: str, spark, sf_dir):
     """Over all vectors, every fiftieth id as a query."""
     e = embeddings(spark, sf_dir)
     shards = graphs.shards_for(e.count())
-    asked = e.where("vec_id % 50 = 0 AND embedding IS NOT NULL").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    asked = _asked(e)
     shared_dir(spark)
     graph = graphs.build_graph(e, kind, shards=shards, key="vec_id", vector="embedding").checkpoint()  # read by each block of queries, and for the degree
     found = graphs.search_graph(e, graph, asked, 10, shards=shards, key="vec_id", vector="embedding")
-    exact = knn.search_batch(e, asked, 10, key="vec_id", vector="embedding").withColumnRenamed("query_id", "query")
-    degree = graph.where("layer = 0").agg(F.avg(F.size("neighbours")).alias("average_degree"), F.count("*").alias("nodes"))
-    return knn.recall(found, exact, 10, keys=["query", "vec_id"]).join(F.broadcast(degree))
+    return knn.recall(found, _exact(e, asked), 10, keys=["query", "vec_id"]).join(F.broadcast(graphs.average_degree(graph)))
 
 
 @query()
@@ -305,3 +312,76 @@ def vamana_recall(spark, sf_dir):
 @query()
 def hnsw_recall(spark, sf_dir):
     return _graph_recall("hnsw", spark, sf_dir)
+
+
+def _report(name, live, found, asked, graph):
+    """One row: live nodes, marked ones, hits that aren't live, and whether nine tenths of the true neighbours are found."""
+    enough = knn.recall(found, _exact(live, asked), 10, keys=["query", "vec_id"]).select((F.col("recall") >= 0.9).alias("enough"))
+    n = graph.where("layer = 0").agg(F.count_if(~F.col("deleted")).alias("live"), F.count_if("deleted").alias("marked"))
+    wrong = found.join(live.select("vec_id"), "vec_id", "left_anti").agg(F.count("*").alias("wrong"))
+    return n.join(F.broadcast(wrong)).join(F.broadcast(enough)).select(F.lit(name).alias("graph"), "live", "marked", "wrong", "enough")
+
+
+def _maintained(spark, sf_dir, change):
+    """The report for both kinds of graph after change(kind, vectors, options) has given (graph, live vectors)."""
+    e = embeddings(spark, sf_dir).select("vec_id", "embedding")
+    shards = max(2, graphs.shards_for(e.count()))
+    options = {"shards": shards, "key": "vec_id", "vector": "embedding"}
+    shared_dir(spark)
+    out = None
+    for kind in ("vamana", "hnsw"):
+        graph, live = change(kind, e, options)
+        graph, asked = graph.checkpoint(), _asked(live)
+        found = graphs.search_graph(e, graph, asked, 10, **options)
+        one = _report(kind, live, found, asked, graph)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_KINDS = "(VALUES ('vamana'), ('hnsw')) k(graph)"
+
+
+@query(f"SELECT graph, (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL) AS live, 0::BIGINT AS marked, 0::BIGINT AS wrong, TRUE AS enough FROM {_KINDS}")
+def graph_insert(spark, sf_dir):
+    """A graph of nine tenths of the vectors, then the others inserted."""
+
+    def change(kind, e, options):
+        first = e.where("vec_id % 10 <> 7")
+        graph = graphs.build_graph(first, kind, **options).checkpoint()
+        return graphs.insert_into_graph(graph, first, e.where("vec_id % 10 IN (7, 8)"), kind, **options), e
+
+    return _maintained(spark, sf_dir, change)
+
+
+@query(f"SELECT graph, count(*) FILTER (vec_id % 12 <> 5) AS live, count(*) FILTER (vec_id % 12 = 5) AS marked, 0::BIGINT AS wrong, TRUE AS enough FROM embeddings, {_KINDS} WHERE embedding IS NOT NULL GROUP BY graph")
+def graph_delete(spark, sf_dir):
+    """Every twelfth vector marked as deleted; none of them is found."""
+
+    def change(kind, e, options):
+        return graphs.delete_from_graph(graphs.build_graph(e, kind, **options), e.where("vec_id % 12 = 5"), "vec_id"), e.where("vec_id % 12 <> 5")
+
+    return _maintained(spark, sf_dir, change)
+
+
+@query(f"SELECT graph, count(*) FILTER (vec_id % 4 <> 1) AS live, 0::BIGINT AS marked, 0::BIGINT AS wrong, TRUE AS enough FROM embeddings, {_KINDS} WHERE embedding IS NOT NULL GROUP BY graph")
+def graph_consolidate(spark, sf_dir):
+    """Every fourth vector deleted, and the graph rewritten without them."""
+
+    def change(kind, e, options):
+        marked = graphs.delete_from_graph(graphs.build_graph(e, kind, **options), e.where("vec_id % 4 = 1"), "vec_id").checkpoint()
+        return graphs.consolidate_graph(marked, e, kind, **options), e.where("vec_id % 4 <> 1")
+
+    return _maintained(spark, sf_dir, change)
+
+
+@query("SELECT count(*) FILTER (vec_id % 50 = 0) AS queries, TRUE AS enough FROM embeddings WHERE embedding IS NOT NULL")
+def pq_beam(spark, sf_dir):
+    """A Vamana graph walked on product codes, and the hits ranked by their true distances."""
+    e = embeddings(spark, sf_dir).select("vec_id", "embedding")
+    shards = graphs.shards_for(e.count())
+    shared_dir(spark)
+    graph = graphs.build_graph(e, "vamana", shards=shards, key="vec_id", vector="embedding").checkpoint()
+    pq = quant.ProductQuantizer.fit(quant.sample_matrix(e, "embedding", key="vec_id"), 16, 256)
+    found = graphs.search_graph_codes(e, graph, _asked(e), pq, 10, shards=shards, key="vec_id", vector="embedding")
+    recall = knn.recall(found, _exact(e, _asked(e)), 10, keys=["query", "vec_id"])
+    return recall.join(F.broadcast(_asked(e).agg(F.count("*").alias("queries")))).select("queries", (F.col("recall") >= 0.9).alias("enough"))

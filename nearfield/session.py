@@ -45,11 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Where the setting is missing (tests, single-JVM runs) a temporary folder of
-    this machine takes its place and becomes the session's checkpoint folder.
+    Where the setting is missing in a single-JVM session (tests, benches) a
+    temporary folder of this machine takes its place and becomes the session's
+    checkpoint folder. On a cluster that would lose data, so it is an error.
     """
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="nearfield-")
         spark.conf.set("spark.checkpoint.dir", set_to)
     if spark.sparkContext.getCheckpointDir() is None:

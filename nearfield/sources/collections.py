@@ -16,7 +16,7 @@ DOCUMENTS = T.StructType(
         T.StructField("seq", T.LongType()),
     ]
 )
-BACKENDS = ("exact", "vamana", "hnsw")
+BACKENDS = ("exact", "vamana", "hnsw", "pq")
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,70 @@ class CollectionSpec:
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
 
+    @staticmethod
+    def from_json(text: str) -> CollectionSpec:
+        return CollectionSpec(**json.loads(text))
+
+
+class Folder:
+    """Files beside the tables, through Spark's own file systems, so any path that Spark reads will do."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm = spark._jvm
+        self.root = path
+        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self._path(name))
+
+    def names(self, name: str) -> list[str]:
+        """What a folder holds, hidden names aside; nothing if it isn't there."""
+        if not self.exists(name):
+            return []
+        return sorted(n for n in (s.getPath().getName() for s in self.fs.listStatus(self._path(name))) if n[0] not in "._")
+
+    def read_text(self, name: str) -> str | None:
+        if not self.exists(name):
+            return None
+        stream = self.fs.open(self._path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write_new(self, name: str, text: str) -> bool:
+        """Makes a file that isn't there yet; False if another has made it. One call of the file system decides."""
+        from py4j.protocol import Py4JJavaError
+
+        try:
+            stream = self.fs.create(self._path(name), False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+                return False
+            raise
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return True
+
+    def claim(self, log: str) -> int:
+        """The next number of a log, which no one else has: the file of that number is made by one writer only."""
+        taken = self.names(log)
+        number = int(taken[-1]) + 1 if taken else 1
+        while not self.write_new(f"{log}/{number:012d}", ""):
+            number += 1
+        return number
+
+    def rename(self, name: str, to: str) -> None:
+        self.fs.mkdirs(self._path(to).getParent())
+        if not self.fs.rename(self._path(name), self._path(to)):
+            raise OSError(f"{name} can't be renamed to {to}")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self._path(name), True)
+
 
 def write_documents(docs: DataFrame, path: str, mode: str = "append") -> None:
     docs.select([F.col(f.name).cast(f.dataType) for f in DOCUMENTS]).write.mode(mode).parquet(path)

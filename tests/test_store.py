@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from nearfield.collection import Collection, NotEnabled
 from nearfield.functions import embed
-from nearfield.operators import bm25, fusion, metrics, sharding, store, tenancy
+from nearfield.operators.indexes import Index
+from nearfield.operators import bm25, fusion, metrics, postings, sharding, store, tenancy
 from nearfield.sources.collections import CollectionSpec
 
 
@@ -46,6 +47,112 @@ def test_collection(spark, people):
     assert "metadata" not in c.search("plum", 1, include_metadata=False).columns
 
 
+def test_collection_is_opened_by_its_specification(spark, people, tmp_path):
+    again = Collection(spark, people.path)
+    assert again.spec == people.spec and again.count() == 3
+    with pytest.raises(ValueError, match="another specification"):
+        Collection(spark, people.path, CollectionSpec("people", dimension=8))
+    with pytest.raises(FileNotFoundError):
+        Collection(spark, f"file://{tmp_path}/nothing")
+    # two handles write: both batches count, each under a number of its own
+    people.add(spark.createDataFrame([("x", "one")], "key string, text string"))
+    again.add(spark.createDataFrame([("x", "two"), ("y", "three")], "key string, text string"))
+    assert again.get("x")["text"] == "two" and people.get("x")["text"] == "two" and people.count() == 5
+    assert len(people.folder.names("log")) == 3
+    with pytest.raises(ValueError, match="dimension_mismatch"):
+        people.add(spark.createDataFrame([("z", "y", [1.0])], "key string, text string, vector array<float>"))
+    assert people.count() == 5 and people.get("z") is None
+    assert people.compact_if_due() and not people.compact_if_due() and people.generation == 1
+    folder = people.export_sharded()
+    assert people.get_routed("y")["text"] == "three" and people.get_routed("nope") is None and folder.startswith(people.path)
+    assert {r["key"] for r in people.search_bm25_sharded("apple").collect()} == {"a", "c"}
+    assert people.search_sharded("two", 1).first()["key"] == "x"
+
+
+@pytest.mark.parametrize("backend", ["vamana", "hnsw", "pq"])
+def test_collection_backends(spark, tmp_path, backend):
+    """With an index the hits are those of exact search, whatever is written after it was built."""
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(size=(300, 8)).round(3)
+    made = [(f"k{i}", f"text {i}", v.tolist()) for i, v in enumerate(x)]
+    docs = spark.createDataFrame(made, "key string, text string, vector array<float>")
+    one, two = (Collection(spark, f"file://{tmp_path}/{b}", CollectionSpec(b, dimension=8, backend=b)) for b in (backend, "exact"))
+    for c in (one, two):
+        c.add(docs)
+        c.compact()
+    assert one.build_index().describe()["size"] == 300 and two.build_index() is None
+    hits = lambda c, q: [r["key"] for r in c.search_vector(x[q].tolist(), 5).collect()]
+    assert hits(one, 7) == hits(two, 7) and hits(one, 7)[0] == "k7"
+    for c in (one, two):
+        c.delete(["k7"])
+        c.upsert(spark.createDataFrame([("new", "n", x[7].tolist()), ("k8", "moved", (-x[7]).tolist())], docs.schema))
+    assert hits(one, 7) == hits(two, 7) and hits(one, 7)[0] == "new"
+    assert Collection(spark, one.path).index().info.kind == backend
+
+
+def test_index(spark, tmp_path):
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=(120, 8))
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, vector array<float>")
+    asked = spark.createDataFrame([(q, x[q].tolist()) for q in (3, 50)], "query_id long, query_vector array<double>")
+    nearest = lambda i: {r["query"]: r["key"] for r in i.search(asked, 3).where("rank = 1").collect()}
+    with pytest.raises(ValueError):
+        Index.build(docs, str(tmp_path), "other")
+    for kind in ("exact", "vamana", "hnsw", "pq"):
+        path = f"file://{tmp_path}/{kind}"
+        made = Index.build(docs.where("key < 100"), path, kind, metric="euclidean")
+        made.insert(docs.where("key >= 100"))
+        made.insert(spark.createDataFrame([(5, x[3].tolist())], docs.schema))
+        assert made.size() == 120 and {r["key"] for r in made.search(asked, 2).where("query = 3").collect()} == {3, 5}, kind
+        made.delete(spark.createDataFrame([(3,), (50,), (999,)], "key long"))
+        again = Index.open(spark, path)
+        assert again.size() == 118 and again.describe()["deleted"] == 2 and nearest(again)[3] == 5 and nearest(again)[50] != 50, kind
+        again.delete(docs.where("key < 40").select("key"))  # more than a tenth: compacted
+        assert again.describe()["deleted"] == 0 and again.vectors().count() == again.size() == 79, kind
+        assert min(r["key"] for r in again.search(asked, 5).collect()) >= 40
+
+
+def test_json_is_compared_by_type(spark):
+    made = ['{"a":1}', '{"a":"1"}', '{"a":1.0}', '{"a":true}', '{"a":null}', '{"b":1}', "{bad", None, '{"a":"x","it\'s":1.5}']
+    df = spark.createDataFrame([(j,) for j in made], "j string")
+    match = lambda c: [i for i, r in enumerate(df.select(store.json_equals(c, F.col("j")).alias("m")).collect()) if r["m"]]
+    assert [match({"a": v}) for v in (1, "1", 1.0, True, None)] == [[0], [1], [2], [3], [4]]
+    assert match({"a": "x", "it's": 1.5}) == [8] and match({}) == list(range(9))
+
+
+def test_replays(spark):
+    log = spark.createDataFrame([(1, "create", "k", "t"), (2, "create", "k", "u"), (3, "delete", "k", None), (4, "create", "k", "v"), (5, "create", "m", "t"), (6, "delete", "m", None), (7, "delete", "z", None)], "seq long, op string, key string, tenant_id string")
+    assert [tuple(r) for r in sharding.replay_keys(log).collect()] == [("k", "v", 4)]
+    quotas = spark.createDataFrame([(1, "incr", "t", 9), (2, "init", "t", None), (3, "decr", "t", 5), (4, "incr", "t", 3), (5, "incr", "u", 2)], "seq long, op string, tenant_id string, n long")
+    assert sorted(tuple(r) for r in sharding.replay_quotas(quotas).collect()) == [("t", 3), ("u", 2)]
+    beats = spark.createDataFrame([("a", 100), ("a", 130), ("b", 90)], "node string, s long").select("node", F.timestamp_seconds("s").alias("ts"))
+    got = {r["node"]: r["silent"] for r in sharding.silent_nodes(beats, F.timestamp_seconds(F.lit(140))).collect()}
+    assert got == {"a": False, "b": True}
+
+
+def test_shards_are_moved(spark, tmp_path):
+    d = spark.range(500).withColumnRenamed("id", "key")
+    sharding.write_sharded(d, str(tmp_path / "old"), 4)
+    moved = sharding.move_shards(spark, str(tmp_path / "old"), str(tmp_path / "new"), 4, 6)
+    assert moved.agg(F.sum("rows")).first()[0] == 500
+    assert sorted(r["key"] for r in spark.read.parquet(str(tmp_path / "new")).collect()) == list(range(500))
+    assert sharding.read_key(spark, str(tmp_path / "new"), 33, 6).collect()[0]["key"] == 33
+
+
+def test_prometheus_histogram(spark):
+    v = spark.createDataFrame([('a"b\\c\n', 0.003), ('a"b\\c\n', 3.0), ("x", None)], "name string, s double")
+    lines = {r["line"] for r in metrics.prometheus_histogram(v, "search_seconds", "s", by="name").collect()}
+    name = 'a\\"b\\\\c\\n'
+    assert f'search_seconds_bucket{{name="{name}",le="0.005"}} 1' in lines and f'search_seconds_bucket{{name="{name}",le="+Inf"}} 2' in lines
+    assert f'search_seconds_sum{{name="{name}"}} 3003000' in lines and f'search_seconds_count{{name="{name}"}} 2' in lines
+    assert 'search_seconds_sum{name="x"} 0' in lines and len(lines) == 2 * 13
+    rows, seen = metrics.observed(v, "adds", "s")
+    rows.collect()
+    assert seen.get == {"n": 3, "total": 3.003, "largest": 3.0}
+
+
 def test_without_bm25(spark, tmp_path):
     c = Collection(spark, f"file://{tmp_path}/x", CollectionSpec("x", dimension=4, bm25=False))
     assert c.count() == 0
@@ -87,6 +194,29 @@ def test_block_max_skips_and_agrees(spark):
     assert bm25.search_block_max(docs, "nothing", 5)[1]["blocks_total"] == 0
 
 
+def test_stored_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "RANGE", 64)
+    monkeypatch.setattr(postings, "SEEDS", 2)
+    made = [(f"k{i:05d}", "common " + ("rare rare rare" if i < 10 else "filler " * (i % 7))) for i in range(3000)]
+    docs = spark.createDataFrame([*made, ("k00001", "common rare rare rare"), (None, "common"), ("kx", None), ("ky", "")], "key string, text string")
+    path = f"file://{tmp_path}/index"
+    postings.build(docs, path, buckets=4)
+    index = postings.StoredIndex(spark, path, buckets=4)
+    found, figures = index.search("common rare", 5)
+    plain = docs.where("key IS NOT NULL").dropDuplicates(["key"])
+    want = [(r["key"], round(r["score"], 9)) for r in bm25.search(plain, "common rare", 5).collect()]
+    assert [(r["key"], round(r["score"], 9)) for r in found.collect()] == want
+    f = figures.first()
+    assert f["blocks_total"] == 47 + 1 and 0 < f["blocks_scanned"] < 10 and f["blocks_skipped"] == f["blocks_total"] - f["blocks_scanned"] and f["query_terms"] == 2
+    found, figures = index.search("nothing", 5)
+    assert found.count() == 0 and figures.first()["blocks_total"] == 0
+    assert index.info().first()["n"] == 3002
+    numbers = [(r["number"], r["key"]) for r in index.table("documents").orderBy("number").select("number", "key").collect()]
+    assert numbers == list(enumerate(sorted({k for k, _ in made} | {"kx", "ky"})))
+    postings.build(docs.limit(0), path + "0", buckets=4)
+    assert postings.StoredIndex(spark, path + "0", buckets=4).search("common", 3)[0].count() == 0
+
+
 def test_fusion(spark):
     lex = spark.createDataFrame([("d1", 2.5), ("d2", 1.0)], "key string, score double")
     vec = spark.createDataFrame([("d1", 0.8), ("d2", 0.4)], "key string, score double")

@@ -123,6 +123,42 @@ def test_hnsw_query_finds_neighbours_in_clusters(spark, tmp_path):
     assert registry.QUERIES["hnsw_recall"](spark, str(tmp_path)).first()["recall"] >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["vamana", "hnsw"])
+def test_graph_tables(spark, docs, kind):
+    """Insert, delete, consolidate and insert again; only shards that are touched change."""
+    from nearfield.session import shared_dir
+
+    shared_dir(spark)
+    first = docs.where("key < 300")
+    graph = graphs.build_graph(first, kind, shards=3).checkpoint()
+    grown = graphs.insert_into_graph(graph, first, docs.where("key >= 290"), kind, shards=3).checkpoint()
+    assert grown.where("layer = 0").count() == 400
+    same = graphs.insert_into_graph(grown, docs, docs.where("key < 5"), kind, shards=3)
+    assert sorted(map(str, same.collect())) == sorted(map(str, grown.collect()))
+    marked = graphs.delete_from_graph(grown, spark.createDataFrame([(i,) for i in range(0, 400, 3)] + [(9999,)], "key long")).checkpoint()
+    assert {r["shard"] for r in graphs.shards_to_consolidate(marked).collect()} == {0, 1, 2} and graphs.shards_to_consolidate(grown).count() == 0
+    asked = docs.where("key % 20 = 1").select(F.col("key").alias("query_id"), F.col("vector").alias("query_vector"))
+    left = docs.where("key % 3 <> 0")
+    exact = knn.search_batch(left, asked, 10).withColumnRenamed("query_id", "query")
+    clean = graphs.consolidate_graph(marked, docs, kind, shards=3).checkpoint()
+    for g, total in ((marked, 400), (clean, left.count())):
+        assert g.where("layer = 0").count() == total
+        found = graphs.search_graph(docs, g, asked, 10, shards=3)
+        assert found.where("key % 3 = 0").count() == 0
+        assert knn.recall(found, exact, 10, keys=["query", "key"]).first()["recall"] >= 0.9
+    assert clean.where("deleted").count() == 0 and clean.select(F.explode("neighbours").alias("n")).where("n % 3 = 0").count() == 0
+    assert graphs.insert_into_graph(graph.limit(0), docs.limit(0), docs, kind, shards=3).where("layer = 0").count() == 400
+
+
+def test_graph_search_on_codes(spark, docs):
+    graph = graphs.build_graph(docs, shards=2)
+    asked = docs.where("key % 20 = 1").select(F.col("key").alias("query_id"), F.col("vector").alias("query_vector"))
+    pq = quant.ProductQuantizer.fit(quant.sample_matrix(docs, "vector"), 8, 64)
+    found = graphs.search_graph_codes(docs, graph, asked, pq, 10, shards=2)
+    exact = knn.search_batch(docs, asked, 10).withColumnRenamed("query_id", "query")
+    assert knn.recall(found, exact, 10, keys=["query", "key"]).first()["recall"] >= 0.9
+
+
 def test_prune_keeps_nearest_and_degree():
     space = graphs.Space(np.array([[0, 0], [1, 0], [1.1, 0], [0, 2.0]]), "euclidean")
     assert graphs.prune(space, 0, [1, 2, 3], 1.2, 8) == [1, 3]
