@@ -8,7 +8,9 @@ found exactly, without all pairs:
 2. In any fixed order of all shingles, two linked sets share one of their first
    |A| - ceil(percent / 100 * |A|) + 1 shingles: these are a node's keys. The
    order puts frequent shingles last, the most frequent ones at the very end, so
-   a passage that many documents share hardly ever brings them together.
+   a passage that many documents share hardly ever brings them together. Nodes
+   under a key are taken in order of size, and a gap too wide for a link ends
+   their group.
 3. A bitmap signature of each node (a bit for each hashed shingle, as wide as the
    set) bounds the overlap of two sets from above: a bit of A that B lacks is a
    shingle that B lacks. Of the nodes that share a key, pairs that pass the bound
@@ -53,14 +55,10 @@ from .words import mix, shingle_set
 
 #: Slots of the table of frequent shingles, four bits each: 8 MB, whatever the input. Any table gives the same result; a good one is fast.
 HEAT_SLOTS = 1 << 24
-#: One in so many texts is counted to choose frequent shingles, and those in so many of these are.
+#: One in so many texts is counted to choose frequent shingles: those in so many of these or more, and no more shingles than an eighth of the slots.
 HEAT_SAMPLE, HEAT_LEAST = 16, 3
-#: Texts that hold a shingle of each level, at most about.
-LEVEL_TEXTS = np.array([0, *(HEAT_SAMPLE * HEAT_LEAST * 4**i for i in range(1, 16))], np.float64)
 #: Least and largest number of nodes in a block, and nodes expected to go to all blocks of a group.
-BLOCK_LEAST, BLOCK_MOST, PIVOTS = 256, 8192, 16
-#: Into how many blocks the nodes of a key are dealt, by the level of the key.
-LEVEL_BLOCKS = np.maximum(1, LEVEL_TEXTS / np.clip(LEVEL_TEXTS / 64, BLOCK_LEAST, BLOCK_MOST)).astype(np.int64)
+BLOCK_LEAST, BLOCK_MOST, PIVOTS = 128, 8192, 16
 #: Bits of the bitmap that picks texts in the last scan: 1 MB, whatever the input.
 PICK_BITS = 1 << 23
 #: Nodes, or texts, that a task remembers so that equal ones go on once.
@@ -106,14 +104,25 @@ def keys_of(s: np.ndarray, percent: int, heat: np.ndarray | None = None) -> tupl
     return s[order], levels[order]
 
 
-def deal_keys(node: int, keys: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def level_texts(least: int) -> np.ndarray:
+    """Texts that hold a shingle of each level, at most about, if level 1 begins with least texts of the sample."""
+    return np.array([0, *(HEAT_SAMPLE * least * 4**i for i in range(1, 16))], np.float64)
+
+
+def level_blocks(least: int) -> np.ndarray:
+    """Into how many blocks the nodes of a key are dealt, by the level of the key."""
+    texts = level_texts(least)
+    return np.maximum(1, texts / np.clip(texts / 64, BLOCK_LEAST, BLOCK_MOST)).astype(np.int64)
+
+
+def deal_keys(node: int, keys: np.ndarray, levels: np.ndarray, least: int = HEAT_LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(key, block) of a node: block 0 for keys that aren't split, else from 1 on, and all of them for a pivot."""
-    blocks = LEVEL_BLOCKS[levels]
+    blocks = level_blocks(least)[levels]
     if blocks.max(initial=1) == 1:
         return keys, np.zeros(len(keys), np.int32)
     h = int(mix(np.array([node], np.int64).view(np.uint64))[0]) >> 1
     own = np.where(blocks > 1, 1 + h % blocks, 0)
-    pivot = (blocks > 1) & ((h >> 39) < PIVOTS / np.maximum(LEVEL_TEXTS[levels], 1) * (1 << 24))
+    pivot = (blocks > 1) & ((h >> 39) < PIVOTS / np.maximum(level_texts(least)[levels], 1) * (1 << 24))
     if not pivot.any():
         return keys, own.astype(np.int32)
     all_of = [np.arange(1, b + 1) for b in blocks[pivot]]
@@ -280,8 +289,12 @@ def _rows(rows: list[tuple], schema: T.StructType):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.field(i).type) for i in range(len(kinds))], schema=kinds)
 
 
-def heat_table(texts: DataFrame, k: int) -> np.ndarray:
-    """The level of each slot, two in a byte, from a sample of the texts; gathered as at most HEAT_SLOTS / 16 rows."""
+def heat_table(texts: DataFrame, k: int) -> tuple[np.ndarray, int]:
+    """The level of each slot, two in a byte, from a sample of the texts, and in how many texts of it level 1 begins.
+
+    Gathered as at most HEAT_SLOTS / 16 rows. On a large corpus level 1 begins
+    higher, so that the frequent shingles fill only a small part of the slots.
+    """
 
     def emit(batches):
         import pyarrow as pa
@@ -296,18 +309,25 @@ def heat_table(texts: DataFrame, k: int) -> np.ndarray:
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(node)
-                found.append((s & np.uint64(HEAT_SLOTS - 1)).view(np.int64))
+                found.append(s.view(np.int64))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["slot"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["shingle"])
 
     sample = texts.where(F.pmod("text_hash", F.lit(HEAT_SAMPLE)) == 0).select("text")
-    counted = sample.mapInArrow(emit, "slot long").groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") >= HEAT_LEAST)
-    level = F.least(F.lit(15), 1 + F.floor(F.log(4.0, F.col("n") / HEAT_LEAST)))
+    counted = written(sample.mapInArrow(emit, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= HEAT_LEAST), "frequent")
+    doubled = counted.groupBy(F.floor(F.log(2.0, F.col("n") / HEAT_LEAST)).cast("int").alias("d")).agg(F.count("*").alias("shingles")).collect()  # at most 64 rows
+    at, total = 0, sum(r["shingles"] for r in doubled)
+    while total > HEAT_SLOTS // 8:
+        total -= sum(r["shingles"] for r in doubled if r["d"] == at)
+        at += 1
+    least = HEAT_LEAST << at
+    level = F.least(F.lit(15), 1 + F.floor(F.log(4.0, F.col("n") / least))).cast("long")
+    slots = counted.where(F.col("n") >= least).groupBy(F.col("shingle").bitwiseAND(F.lit(HEAT_SLOTS - 1)).alias("slot")).agg(F.max(level).alias("level"))
     put = F.expr("shiftleft(level, cast(4 * (slot & 15) as int))")
-    got = counted.select("slot", level.cast("long").alias("level")).groupBy(F.shiftright("slot", 4).alias("word")).agg(F.bit_or(put).alias("levels")).toPandas()
+    got = slots.groupBy(F.shiftright("slot", 4).alias("word")).agg(F.bit_or(put).alias("levels")).toPandas()
     out = np.zeros(HEAT_SLOTS // 16, np.int64)
     out[got["word"].to_numpy(np.int64)] = got["levels"].to_numpy(np.int64)
-    return out.view(np.uint8)
+    return out.view(np.uint8), least
 
 
 def measured(source: DataFrame, k: int, percent: int, heat) -> DataFrame:
@@ -336,7 +356,8 @@ def measured(source: DataFrame, k: int, percent: int, heat) -> DataFrame:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(node)
-                    key, block = deal_keys(node, *keys_of(s, percent, heat.value))
+                    table, least = heat.value
+                    key, block = deal_keys(node, *keys_of(s, percent, table), least)
                     keys.append(key.view(np.int64))
                     blocks.append(block)
                 ends.append(ends[-1] + (len(keys[-1]) if new else 0))
@@ -348,32 +369,40 @@ def measured(source: DataFrame, k: int, percent: int, heat) -> DataFrame:
     return map_texts(source, fields, make, keep=("id", "text_hash"))
 
 
-def shared(batches):
-    """Rows (key, block, node) come in order: those of a key and block with two nodes or more, and all of split keys, with the first node there."""
-    import pyarrow as pa
+def shared(percent: int):
+    def run(batches):
+        """Rows (key, block, size, node) come in order: those that have a neighbour of their key and block, and all of split keys, with the first node.
 
-    key, block, node, before, first = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), False, 0
+        Where the next size is too large for a link the group ends and another
+        begins, so texts of other sizes that share a key go no further.
+        """
+        import pyarrow as pa
 
-    def out(f, k, b, n):
-        return pa.RecordBatch.from_arrays([pa.array(f), pa.array(k), pa.array(b), pa.array(n)], names=MET.names)
+        key, block, size, node = (np.empty(0, t) for t in (np.int64, np.int32, np.int64, np.int64))
+        before, first = False, 0
+
+        def out(f, k, b, n):
+            return pa.RecordBatch.from_arrays([pa.array(f), pa.array(k), pa.array(b), pa.array(n)], names=MET.names)
+
+        for got in batches:
+            key, block, size, node = (np.concatenate((x, got.column(i).to_numpy())) for i, x in enumerate((key, block, size, node)))
+            if len(key) < 2:
+                continue
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (node[1:] != node[:-1])))
+            key, block, size, node = key[new], block[new], size[new], node[new]
+            near = (key[1:] == key[:-1]) & (block[1:] == block[:-1]) & (100 * size[:-1] >= percent * size[1:])
+            same = np.concatenate(([before], near))
+            head = np.maximum.accumulate(np.where(same, -1, np.arange(len(key))))
+            firsts = np.where(head >= 0, node[np.maximum(head, 0)], first)
+            on = same[:-1] | same[1:] | (block[:-1] > 0)
+            if on.any():
+                yield out(firsts[:-1][on], key[:-1][on], block[:-1][on], node[:-1][on])
+            # what follows decides about the last
+            key, block, size, node, before, first = key[-1:], block[-1:], size[-1:], node[-1:], bool(same[-1]), firsts[-1]
+        if len(key) and (before or block[0] > 0):
+            yield out(np.array([first if before else node[0]], np.int64), key, block, node)
 
-    for got in batches:
-        key, block, node = (np.concatenate((x, got.column(i).to_numpy())) for i, x in enumerate((key, block, node)))
-        if len(key) < 2:
-            continue
-        other = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
-        new = np.concatenate(([True], other | (node[1:] != node[:-1])))
-        key, block, node = key[new], block[new], node[new]
-        same = np.concatenate(([before], (key[1:] == key[:-1]) & (block[1:] == block[:-1])))
-        head = np.maximum.accumulate(np.where(same, -1, np.arange(len(key))))
-        firsts = np.where(head >= 0, node[np.maximum(head, 0)], first)
-        on = same[:-1] | same[1:] | (block[:-1] > 0)
-        if on.any():
-            yield out(firsts[:-1][on], key[:-1][on], block[:-1][on], node[:-1][on])
-        # what follows decides about the last
-        key, block, node, before, first = key[-1:], block[-1:], node[-1:], bool(same[-1]), firsts[-1]
-    if len(key) and (before or block[0] > 0):
-        yield out(np.array([first if before else node[0]], np.int64), key, block, node)
+    return run
 
 
 def distinct_groups(batches):
@@ -509,8 +538,9 @@ def grown(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 def candidate_components(sized: DataFrame, nodes: DataFrame, percent: int, n_parts: int) -> DataFrame:
     """(node, root) of the nodes that candidate pairs join."""
-    met = sized.where("size(met) > 0").select("node", F.explode("met").alias("m")).select(F.col("m.key").alias("key"), F.col("m.block").alias("block"), "node")
-    met = written(met.repartition(n_parts, "key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(shared, MET), "keys")
+    met = sized.where("size(met) > 0").select("node", F.col("n_shingles").alias("size"), F.explode("met").alias("m"))
+    met = met.select(F.col("m.key").alias("key"), F.col("m.block").alias("block"), "size", "node")
+    met = written(met.repartition(n_parts, "key", "block").sortWithinPartitions("key", "block", "size", "node").mapInArrow(shared(percent), MET), "keys")
     signatures = nodes.select("node", "size", "signature")
     groups = met.repartition(n_parts, "first", "block").sortWithinPartitions("first", "block", "key", "node").mapInArrow(distinct_groups, GROUPS)
     groups = groups.join(signatures, "node").select("first", "block", "node", "keys", "size", "signature")

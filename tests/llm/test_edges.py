@@ -498,7 +498,7 @@ def test_linked_sets_meet_in_a_block_or_are_left_open():
     for node in range(-3000, 3000, 7):
         key, block = jaccard.deal_keys(node, keys, levels)
         for k, level in zip(keys.tolist(), levels.tolist(), strict=True):
-            got, n = sorted(block[key == k].tolist()), int(jaccard.LEVEL_BLOCKS[level])
+            got, n = sorted(block[key == k].tolist()), int(jaccard.level_blocks(3)[level])
             assert got == [0] if n == 1 else got == list(range(1, n + 1)) or len(got) == 1 and 1 <= got[0] <= n
 
 
