@@ -9,8 +9,11 @@ as hits, and each is extended to its longest verbatim match.
 
 A window is `window` consecutive words of an item; a shorter item that has
 words is one window. The benchmark goes to the executors in blocks of at most
-`block_words` words (one larger item makes a block of its own), so what is
-broadcast is bounded; each batch of documents meets the blocks one by one.
+about `block_words` words (one larger item makes a block of its own), packed; each
+shard of documents meets the blocks one by one, and one is unpacked at a time.
+What a worker holds of a benchmark is thus its packed bytes (about 4 MB for
+500,000 words) and one block: benchmarks of some hundred million words are the
+limit, far above those in use.
 
 Defined results: a null or empty text has no words and no hits; null item ids
 and item texts without words match nothing; repeated document rows each give a
@@ -23,6 +26,8 @@ same name; the filter keeps all columns of its input, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import pickle
+import zlib
 from itertools import repeat
 
 import numpy as np
@@ -249,7 +254,7 @@ def score_texts(texts: list[bytes | None], blocks) -> list[list]:
 
 
 def benchmark_blocks(spark: SparkSession, benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> list:
-    """Broadcasts of Patterns. Only one block's texts are on the driver at a time."""
+    """Broadcasts of Patterns, packed. Only one block's texts are on the driver at a time."""
     b = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
     b = b.where("item IS NOT NULL AND text IS NOT NULL").distinct()
     total = b.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -258,7 +263,8 @@ def benchmark_blocks(spark: SparkSession, benchmark: DataFrame, item_col: str, t
     for k in range(n):
         part = b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else b
         rows = sorted((r["item"], r["text"]) for r in part.collect())
-        out.append(spark.sparkContext.broadcast(Patterns([(i, t.encode()) for i, t in rows], window)))
+        packed = zlib.compress(pickle.dumps(Patterns([(i, t.encode()) for i, t in rows], window)), 1)
+        out.append(spark.sparkContext.broadcast(packed))
     return out
 
 
@@ -281,14 +287,14 @@ def decontamination_report(
     blocks = benchmark_blocks(docs.sparkSession, benchmark, item_col, item_text_col, window, block_words)
 
     def make():
-        one = blocks[0].value if len(blocks) == 1 else None
+        unpack = lambda b: pickle.loads(zlib.decompress(b.value))
+        one = unpack(blocks[0]) if len(blocks) == 1 else None
 
         def each():
             if one is not None:
                 yield one
             else:
-                for b in blocks:  # not .value, which would keep every block in memory
-                    yield b.load_from_path(b._path)
+                yield from map(unpack, blocks)
 
         return lambda texts: score_texts(texts, each)
 
