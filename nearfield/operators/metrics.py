@@ -75,7 +75,3 @@ def observed(rows: DataFrame, name: str, value: str | None = None):
     if value:
         cells += [F.sum(value).alias("total"), F.max(value).alias("largest")]
     return rows.observe(seen, *cells), seen
-
-
-def average_degree(graph: DataFrame, neighbours: str = "neighbours") -> DataFrame:
-    return graph.agg(F.avg(F.size(neighbours)).alias("average_degree"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import embed
 from ..functions import text as X
 from ..operators import knn, metrics, sharding, store, tenancy
 from ..sources import collections as C
-from ..session import table
+from ..session import shared_dir, table
 from .registry import query
 from .text_queries import _TOKENS, documents
 
@@ -86,6 +88,15 @@ def json_filter(spark, sf_dir):
     return d.where(store.equals({"lang": "de", "source": "src3"}, F.col("metadata"))).select("doc_id", "lang", "source")
 
 
+@query("SELECT doc_id, n_chars FROM documents WHERE lang = 'de' AND n_chars % 2 = 0")
+def json_typed_filter(spark, sf_dir):
+    """Metadata as JSON: a number isn't its text, and the text isn't the number."""
+    d = documents(spark, sf_dir).select("doc_id", "n_chars", F.to_json(F.struct("lang", (F.col("n_chars") % 2).alias("odd"), (F.col("n_chars") % 2).cast("string").alias("text"), (F.col("n_chars") % 2 == 0).alias("even"))).alias("metadata"))
+    typed = store.json_equals({"lang": "de", "odd": 0, "text": "0", "even": True}, F.col("metadata"))
+    untyped = store.json_equals({"odd": "0"}, F.col("metadata")) | store.json_equals({"text": 0}, F.col("metadata")) | store.json_equals({"missing": None}, F.col("metadata"))
+    return d.where(typed & ~untyped).select("doc_id", "n_chars")
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS key, lang, source FROM documents WHERE doc_id % 9 <> 4")
 def json_roundtrip(spark, sf_dir):
     """Documents to JSON lines and back; broken lines are rejected."""
@@ -101,6 +112,20 @@ def prometheus_export(spark, sf_dir):
     return metrics.prometheus(n, "documents_total", F.col("n"), {"lang": F.col("lang"), "source": F.col("source")})
 
 
+_BOUNDS = "(VALUES ('0.001', 0.001::DOUBLE), ('0.005', 0.005), ('0.01', 0.01), ('0.025', 0.025), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5), ('1.0', 1.0), ('2.5', 2.5), ('+Inf', 'Infinity'::DOUBLE)) b(s, x)"
+
+
+@query(
+    f"""WITH e AS (SELECT event_type AS t, value / 100 AS v FROM events),
+       h AS (SELECT 'latency_bucket{{event_type="' || t || '",le="' || b.s || '"}} ' || count(*) FILTER (v <= b.x) AS line FROM e, {_BOUNDS} GROUP BY t, b.s)
+       SELECT line FROM h UNION ALL SELECT 'latency_count{{event_type="' || t || '"}} ' || count(v) FROM e GROUP BY t
+       UNION ALL SELECT 'latency_sum{{event_type="' || t || '"}} ' || coalesce(sum(CAST(round(v * 1000000) AS BIGINT)), 0) FROM e GROUP BY t"""
+)
+def prometheus_histogram(spark, sf_dir):
+    """Buckets, sum and count as lines."""
+    return metrics.prometheus_histogram(events(spark, sf_dir).withColumn("seconds", F.col("value") / 100), "latency", "seconds", by="event_type")
+
+
 @query()
 def embed_search(spark, sf_dir):
     """Texts embedded by hashing, searched with the first document's own vector."""
@@ -126,6 +151,54 @@ def reshard_counts(spark, sf_dir):
     return sharding.reshard(documents(spark, sf_dir), 4, 6, "doc_id").groupBy("old_shard", "new_shard").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT {_SHARD} % 4 AS old_shard, {_SHARD} % 6 AS new_shard, count(*) AS rows FROM documents GROUP BY 1, 2")
+def reshard_moves(spark, sf_dir):
+    """Four shards rewritten as six: every row arrives."""
+    old, new = (f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}" for _ in range(2))
+    sharding.write_sharded(documents(spark, sf_dir).select("doc_id", "lang", "source"), old, 4, "doc_id")
+    return sharding.move_shards(spark, old, new, 4, 6, "doc_id")
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE doc_id = 33")
+def routed_get(spark, sf_dir):
+    """One key of a sharded table: the other shards' folders aren't read."""
+    path = f"{shared_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    sharding.write_sharded(documents(spark, sf_dir).select("doc_id", "lang", "source"), path, 4, "doc_id")
+    return sharding.read_key(spark, path, 33, 4, "doc_id")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'delete' ELSE 'create' END AS op, md5(CAST(o_custkey % 90 AS VARCHAR)) AS key, 't' || o_custkey % 7 AS tenant_id FROM orders),
+       g AS (SELECT *, coalesce(max(CASE WHEN op = 'delete' THEN seq END) OVER (PARTITION BY key), -1) AS gone FROM o)
+       SELECT key, min_by(tenant_id, seq) AS tenant_id, min(seq) AS created_seq FROM g WHERE op = 'create' AND seq > gone GROUP BY key"""
+)
+def key_log(spark, sf_dir):
+    """A log of created and deleted keys, made of orders, replayed into the keys that exist."""
+    op = F.when(F.col("o_orderkey") % 3 == 0, "delete").otherwise("create")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), op.alias("op"), F.md5((F.col("o_custkey") % 90).cast("string").cast("binary")).alias("key"), F.concat(F.lit("t"), F.col("o_custkey") % 7).alias("tenant_id"))
+    return sharding.replay_keys(o)
+
+
+@query(
+    """WITH e AS (SELECT 't' || user_id % 30 AS tenant_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'init' WHEN 'error' THEN 'decr' ELSE 'incr' END AS op, event_id % 9 AS n FROM events),
+       r AS (SELECT *, coalesce(max(CASE WHEN op = 'init' THEN seq END) OVER (PARTITION BY tenant_id), -1) AS reset FROM e),
+       s AS (SELECT *, sum(CASE op WHEN 'incr' THEN n WHEN 'decr' THEN -n ELSE 0 END) OVER (PARTITION BY tenant_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS s FROM r WHERE seq >= reset)
+       SELECT tenant_id, CAST(max_by(s, seq) - least(0, min(s)) AS BIGINT) AS vectors FROM s GROUP BY tenant_id"""
+)
+def quota_log(spark, sf_dir):
+    """A log of quota commands, made of events, replayed into counters."""
+    op = F.when(F.col("event_type") == "signup", "init").when(F.col("event_type") == "error", "decr").otherwise("incr")
+    return sharding.replay_quotas(events(spark, sf_dir).select(F.concat(F.lit("t"), F.col("user_id") % 30).alias("tenant_id"), F.col("event_id").alias("seq"), op.alias("op"), (F.col("event_id") % 9).alias("n")))
+
+
+@query("WITH m AS (SELECT max(ts) AS now FROM events) SELECT 'node' || user_id % 40 AS node, epoch(max(now)) - epoch(max(ts)) > 3600 AS silent FROM events, m GROUP BY 1")
+def silent_nodes(spark, sf_dir):
+    """Nodes that weren't heard for an hour."""
+    beats = events(spark, sf_dir).select(F.concat(F.lit("node"), F.col("user_id") % 40).alias("node"), F.col("ts").cast("timestamp").alias("ts"))
+    now = F.lit(beats.agg(F.max("ts")).first()[0])
+    return sharding.silent_nodes(beats, now, 3600.0).select("node", "silent")
+
+
 @query("SELECT s AS shard, CAST(r AS INTEGER) AS replica, (['n1', 'n2', 'n3', 'n4', 'n5'])[(s % 5 + r) % 5 + 1] AS node FROM range(12) a(s), range(3) b(r)")
 def shard_placement(spark, sf_dir):
     return sharding.placement(spark, 12, ["n3", "n1", "n2", "n5", "n4"], 3)

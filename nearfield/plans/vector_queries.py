@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors as V
-from ..operators import graphs, knn, metrics, quant, store
+from ..operators import graphs, indexes, knn, quant, store
 from ..session import shared_dir, table
 from .registry import query
 
@@ -224,11 +227,11 @@ def max_sim(spark, sf_dir):
        ('polar4', 768, 1060, 3072.0 / 1060)) AS t(codec, dimension, bytes, ratio)"""
 )
 def codec_sizes(spark, sf_dir):
-    """Bytes of a code by its formula, computed as columns."""
-    rows = spark.createDataFrame([("pq", 64, 0), ("pq", 128, 0), ("pq", 256, 0), ("polar2", 768, 2), ("polar3", 64, 3), ("polar3", 768, 3), ("polar4", 768, 4)], "codec string, dimension int, bits int")
-    polar = F.lit(4) + F.col("dimension") + F.ceil(F.col("dimension") / 2 * F.col("bits") / 8) + F.ceil(F.col("dimension") / 8)
-    size = F.when(F.col("codec") == "pq", F.lit(8)).otherwise(polar).cast("int")
-    return rows.select("codec", "dimension", size.alias("bytes"), (F.col("dimension") * 4.0 / size).alias("ratio"))
+    """What the codecs say of their codes' bytes."""
+    pq = [("pq", d, quant.ProductQuantizer(np.zeros((8, 1, d // 8))).info()["bytes"]) for d in (64, 128, 256)]
+    polar = [(f"polar{bits}", d, quant.polar_bytes(d, bits)) for d, bits in ((768, 2), (64, 3), (768, 3), (768, 4))]
+    rows = spark.createDataFrame(pq + polar, "codec string, dimension int, bytes int")
+    return rows.select("codec", "dimension", "bytes", (F.col("dimension") * 4.0 / F.col("bytes")).alias("ratio"))
 
 
 @query("SELECT vec_id, 256 AS bytes, TRUE AS same FROM embeddings")
@@ -238,17 +241,12 @@ def vector_binary(spark, sf_dir):
     return p.select("vec_id", F.octet_length("packed").alias("bytes"), (quant.unpack_column(F.col("packed")) == F.col("embedding")).alias("same"))
 
 
-@query(
-    """WITH c AS (SELECT count(*) AS n FROM embeddings), l AS (SELECT vec_id, count(*) AS d FROM embeddings, c, (VALUES (-2), (-1), (1), (2)) k(k) WHERE vec_id + k >= 0 AND vec_id + k < n GROUP BY vec_id)
-       SELECT round(avg(d), 6) AS average_degree FROM l"""
-)
+@query("SELECT count(*) AS nodes, TRUE AS bounded FROM embeddings WHERE embedding IS NOT NULL")
 def average_degree(spark, sf_dir):
-    """Of a ring-like graph over the vectors, each linked with two neighbours on either side."""
-    e = embeddings(spark, sf_dir).select("vec_id")
-    n = e.agg(F.count("*").alias("n"))
-    around = F.array(*[F.col("vec_id") + k for k in (-2, -1, 1, 2)])
-    graph = e.join(F.broadcast(n)).select(F.filter(around, lambda j: (j >= 0) & (j < F.col("n"))).alias("neighbours"))
-    return metrics.average_degree(graph).withColumn("average_degree", F.round("average_degree", 6))
+    """Of a graph index over the vectors: its nodes, and whether the mean degree is within the index's bound."""
+    e = embeddings(spark, sf_dir)
+    graph = graphs.build_graph(e, shards=graphs.shards_for(e.count()), key="vec_id", vector="embedding")
+    return graphs.average_degree(graph).select("nodes", F.col("average_degree").between(1, 32).alias("bounded"))
 
 
 @query()
@@ -385,3 +383,34 @@ def pq_beam(spark, sf_dir):
     found = graphs.search_graph_codes(e, graph, _asked(e), pq, 10, shards=shards, key="vec_id", vector="embedding")
     recall = knn.recall(found, _exact(e, _asked(e)), 10, keys=["query", "vec_id"])
     return recall.join(F.broadcast(_asked(e).agg(F.count("*").alias("queries")))).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query("SELECT codec, count(*) FILTER (vec_id % 50 = 0) AS queries, TRUE AS enough FROM embeddings, (VALUES ('pq'), ('polar'), ('subspace')) c(codec) WHERE embedding IS NOT NULL GROUP BY codec")
+def codec_recall(spark, sf_dir):
+    """Whether nine tenths of the true neighbours of every fiftieth vector are found by codes, by codec."""
+    e = embeddings(spark, sf_dir).select("vec_id", "embedding")
+    asked = _asked(e)
+    exact, n = _exact(e, asked), asked.agg(F.count("*").alias("queries"))
+    codecs = {"pq": quant.ProductQuantizer.fit(quant.sample_matrix(e, "embedding", key="vec_id"), 8, 256), "polar": quant.PolarCodec(DIMENSION), "subspace": quant.SubspaceCodec(DIMENSION, 4)}
+    out = None
+    for name, c in codecs.items():
+        found = quant.search_codes_many(e, c, asked, 10, key="vec_id", vector="embedding").withColumnRenamed("query_id", "query")
+        one = knn.recall(found, exact, 10, keys=["query", "vec_id"]).join(F.broadcast(n)).select(F.lit(name).alias("codec"), "queries", (F.col("recall") >= 0.9).alias("enough"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"SELECT kind, count(*) FILTER (vec_id % 12 <> 5) AS size, count(*) FILTER (vec_id % 12 = 5) AS deleted, 0::BIGINT AS wrong FROM embeddings, (VALUES ('exact'), ('hnsw'), ('vamana'), ('pq')) k(kind) WHERE embedding IS NOT NULL GROUP BY kind")
+def index_kinds(spark, sf_dir):
+    """An index of each kind, written, changed and opened again; deleted keys aren't found."""
+    e = embeddings(spark, sf_dir).select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    asked = e.where("key % 50 = 0 AND vector IS NOT NULL").select(F.col("key").alias("query_id"), F.col("vector").alias("query_vector"))
+    rows, out = [], None
+    for kind in indexes.KINDS:
+        path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        indexes.Index.build(e, path, kind).delete(e.where("key % 12 = 5"))
+        again = indexes.Index.open(spark, path)
+        rows.append((kind, again.size(), again.describe()["deleted"]))
+        wrong = again.search(asked, 10).where("key % 12 = 5").agg(F.count("*").alias("wrong")).select(F.lit(kind).alias("kind"), "wrong")
+        out = wrong if out is None else out.unionByName(wrong)
+    return spark.createDataFrame(rows, "kind string, size long, deleted long").join(F.broadcast(out), "kind")
