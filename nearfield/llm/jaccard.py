@@ -588,7 +588,8 @@ def with_sets(placed: DataFrame, source: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["text_hash", "shingles"])
 
     sets = source.select("text_hash", bit, "text").mapInArrow(run, "text_hash long, shingles binary")
-    return placed.join(sets, "text_hash")
+    # copies of a text come from several tasks
+    return placed.join(sets.groupBy("text_hash").agg(F.min("shingles").alias("shingles")), "text_hash")
 
 
 def exact_components(members: DataFrame, source: DataFrame, k: int, percent: int, tile_shingles: int, n_parts: int) -> DataFrame:
@@ -603,13 +604,8 @@ def exact_components(members: DataFrame, source: DataFrame, k: int, percent: int
     placed = placed.select(*by, "i", F.lit(-1).alias("j"), F.lit(0).alias("side"), "node", F.col("node").alias("root"), "text_hash", "blocks")
 
     def links(rows):
-        # texts of equal hash and other texts: the set must be the node's; and a text may come from several tasks
-        seen, got = set(), []
-        for side, node, root, data in rows:
-            s = np.frombuffer(data, np.uint64)
-            if (side, node) not in seen and node_of(s) == node:
-                seen.add((side, node))
-                got.append((side, node, root, s))
+        # texts of equal hash may be other texts: the set must be the node's
+        got = [(side, node, root, s) for side, node, root, data in rows if node_of(s := np.frombuffer(data, np.uint64)) == node]
         if len(got) < 2:
             return []
         side, node, root = (np.array([g[i] for g in got], np.int64) for i in range(3))
