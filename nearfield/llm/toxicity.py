@@ -9,7 +9,8 @@ these and to the terms beside them that change the share of toxic rows there,
 whatever they say alone. All others weigh nothing.
 
 It is fitted on the driver on a bounded sample of labelled rows: at most about
-`max_train` rows, taken by a hash of the id, whatever the size of the corpus.
+`max_train` rows, taken by a hash of the id, whatever the size of the corpus; a
+few fits in different orders are averaged, which is a machine again.
 Held-out rows (crc32 of the id as text, modulo `folds`, is 0) are never used.
 Scoring is one pass over all texts with the fitted arrays broadcast (a fixed
 number of bytes).
@@ -147,6 +148,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, *, bits: int, rank: int = 4, epoc
     return Machine(bits, bias, w, v, picked)
 
 
+def fit_several(rows: list[np.ndarray], y: np.ndarray, *, machines: int = 3, seed: int = 7, **options) -> Machine:
+    """The mean of machines fitted in different orders, which is one machine with the factors of all side by side."""
+    each = [fit(rows, y, seed=seed + i, **options) for i in range(machines)]
+    v = np.concatenate([m.v for m in each], axis=1) / np.float32(machines**0.5)
+    return Machine(each[0].bits, float(np.mean([m.bias for m in each])), np.mean([m.w for m in each], axis=0), v, each[0].picked)
+
+
 def held_out(id_column, folds: int = 5):
     return F.crc32(id_column.cast("string").cast("binary")) % folds == 0
 
@@ -188,13 +196,14 @@ def score_toxicity(
     folds: int = 5,
     max_train: int = 12_000,
     bits: int = 18,
+    machines: int = 3,
     threshold: float = 0.5,
     keep: tuple[str, ...] = ("doc_id",),
     keep_if: bool = False,
 ) -> DataFrame:
     """score and predicted beside the columns in keep; with keep_if only those columns, of rows below the threshold."""
     rows, y = training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, folds=folds, max_train=max_train, bits=bits)
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows, y, bits=bits))
+    model = docs.sparkSession.sparkContext.broadcast(fit_several(rows, y, bits=bits, machines=machines))
 
     def make():
         m = model.value
