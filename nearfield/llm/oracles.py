@@ -21,10 +21,10 @@ g AS (SELECT doc_id, p, w[p:p + 4] AS win FROM (SELECT *, unnest(range(1, len(w)
 r AS (SELECT doc_id, win FROM g GROUP BY doc_id, win HAVING count(*) > 1),
 q AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT g.doc_id, unnest(range(p, p + 5)) AS k FROM g JOIN r ON g.doc_id = r.doc_id AND g.win = r.win) GROUP BY doc_id),
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_SPACED})) AS l, coalesce(n, 0) AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) AS n_alpha FROM d LEFT JOIN q ON d.doc_id = q.doc_id),
+list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_SPACED})) AS l, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN q ON d.doc_id = q.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
-NOT base_failed AND 10 * n_symbols <= n_words AND 10 * n_alpha >= 7 * n_words AS kept FROM b"""
+NOT base_failed AND 10 * n_symbols <= n_words AS kept FROM b"""
 
 OP8 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p),

@@ -117,3 +117,37 @@ def components(sets, percent):
 
 def crc32_of(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def op2(docs, labels, frame):
+    """doc -> score of the machine that is fitted on the sample, every pair of terms taken one by one."""
+    import math
+
+    from nearfield.llm import toxicity
+
+    rows, y = toxicity.training_rows(frame, labels, id_col="doc_id", text_col="text", label_col="toxic", folds=5, max_train=12_000, bits=18)
+    m, out = toxicity.fit_several(rows, y, bits=18), {}
+    for doc, text in docs:
+        forms = set()
+        for w in alnum(text):
+            forms |= {"w" + w} | {"p" + w[:n] for n in (4, 5) if len(w) > n}
+        terms = sorted({zlib.crc32(f.encode()) % 2**18 for f in forms})
+        terms = [t for t in terms if m.picked[t]]
+        total = m.bias + sum(float(m.w[t]) for t in terms)
+        total += sum(float((m.v[a].astype(float) * m.v[b]).sum()) for i, a in enumerate(terms) for b in terms[i + 1 :])
+        out[doc] = 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
+    return out
+
+
+def padding(lengths, n_buckets):
+    """The least padding that n_buckets boundaries can leave, over all places of each boundary."""
+    sizes = sorted(set(lengths))
+    count = Counter(lengths)
+    docs, tokens = [0], [0]
+    for n in sizes:
+        docs.append(docs[-1] + count[n])
+        tokens.append(tokens[-1] + n * count[n])
+    best = [0] + [None] * len(sizes)
+    for _ in range(min(n_buckets, len(sizes))):
+        best = [None if j == 0 else min((best[i] + sizes[j - 1] * (docs[j] - docs[i]) - (tokens[j] - tokens[i]) for i in range(j) if best[i] is not None), default=None) for j in range(len(sizes) + 1)]
+    return best[-1]

@@ -1,5 +1,7 @@
 """Queries of the subpackage over the smallest tables, against plain versions."""
 
+import zlib
+
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -46,6 +48,23 @@ def test_op4(spark, docs):
         assert r["n_tokens"] <= r["bucket_len"] and r["padding"] == r["bucket_len"] - r["n_tokens"]
         by.setdefault((r["bucket"], r["batch"]), []).append(r["bucket_len"])
     assert all(sum(v) <= 65536 or len(v) == 1 for v in by.values())
+    assert sum(r["padding"] for r in got) == brute.padding([max(1, n) for n in want.values()], 16)
+
+
+def test_op2(spark, docs):
+    """Scores are those of a plain machine; on labels that it hasn't seen it hardly errs."""
+    frame, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    want = brute.op2(docs, labels, frame)
+    got = q.op2_toxicity(spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-4) and r["predicted"] == (r["score"] >= 0.5)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    large = SF.replace("sf0.001", "sf0.1")
+    true = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{large}/labels.parquet").collect()}
+    unseen = [(r["predicted"], true[r["doc_id"]]) for r in q.op2_toxicity(spark, large).where("held_out").collect() if true.get(r["doc_id"]) is not None]
+    wrong = sum(p != t for p, t in unseen)
+    assert len(unseen) > 500 and wrong / len(unseen) < 0.03 and not any(p and not t for p, t in unseen)
 
 
 def test_op5(spark, docs):
