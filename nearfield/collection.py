@@ -17,6 +17,10 @@ class NotEnabled(RuntimeError):
     """bm25_not_enabled: the collection keeps no lexical index."""
 
 
+class NotClustered(RuntimeError):
+    """not_clustered: the collection has one shard."""
+
+
 class Collection:
     """Documents are rows (key, text, metadata, vector, seq): a base, and a delta of later writes.
 
@@ -207,6 +211,8 @@ class Collection:
     # shards
 
     def sharded(self) -> DataFrame:
+        if self.spec.shards < 2:
+            raise NotClustered("not_clustered")
         return sharding.with_shard(self.current(), self.spec.shards)
 
     def search_sharded(self, text: str, k: int = 10) -> DataFrame:
@@ -227,7 +233,7 @@ class Collection:
     def export_sharded(self) -> str:
         """The current rows in one folder for each shard, for reads of single keys; returns the folder."""
         to = f"{self._at()}/sharded"
-        sharding.write_sharded(self.current(), to, self.spec.shards)
+        sharding.write_sharded(self.sharded().drop("shard"), to, self.spec.shards)
         return to
 
     def get_routed(self, key: str) -> dict | None:

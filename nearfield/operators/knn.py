@@ -11,6 +11,8 @@ from ..functions import vectors as V
 
 #: A block of queries that is broadcast: rows and bytes are bounded by this many floats.
 BLOCK_FLOATS = 4_000_000
+#: So many queries are taken without counting them first.
+FEW_QUERIES = 1000
 #: Distances that a task holds at a time, queries times rows.
 MATRIX_CELLS = 8_000_000
 
@@ -90,8 +92,11 @@ def search_batch(
 
 def query_blocks(queries: DataFrame) -> Iterator[list]:
     """Lists of (query_id, query_vector), all queries in blocks of at most about BLOCK_FLOATS; one empty list for no queries."""
-    first = queries.select(F.size("query_vector").alias("n")).where("n > 0").first()
-    dim = first["n"] if first else 1
+    few = queries.limit(FEW_QUERIES + 1).collect()
+    dim = next((len(r["query_vector"]) for r in few if r["query_vector"]), 1)
+    if len(few) <= FEW_QUERIES and len(few) * dim <= BLOCK_FLOATS:
+        yield sorted(few, key=lambda r: str(r["query_id"]))  # one job instead of three
+        return
     blocks = max(1, -(-queries.count() * dim // BLOCK_FLOATS))
     for b in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import bm25, fusion, postings
+from ..operators import bm25, fusion, knn, postings
 from ..session import shared_dir, table
 from .registry import query
 from .vector_queries import _COS, _Q, embeddings, vector_of
@@ -164,6 +164,16 @@ def id_dictionary(spark, sf_dir):
     return postings.number_ids(documents(spark, sf_dir), "doc_id").select("key", "number")
 
 
+@query(f"""WITH {_scores_sql(QUERY)}, c AS (SELECT doc_id FROM sc WHERE score > 0 ORDER BY round(score, 9) DESC, doc_id LIMIT 20)
+        SELECT doc_id, CAST(len(list_intersect({_TOKENS}, ['the', 'thing', 'from', 'worthless', 'idiot'])) AS INTEGER) AS score FROM c JOIN documents USING (doc_id) ORDER BY score DESC, doc_id LIMIT 10""")
+def rerank_by_model(spark, sf_dir):
+    """Twenty candidates in the order of a pluggable model; this one counts distinct query terms."""
+    d = documents(spark, sf_dir)
+    model = lambda q, text: F.size(F.array_intersect(X.tokens(text), X.tokens(q)))
+    near = d.join(F.broadcast(bm25.search(d, QUERY, 20, key="doc_id").select("doc_id")), "doc_id")
+    return knn.rerank_by(near, model, QUERY, 10, key="doc_id").select("doc_id", "score")
+
+
 _SHARD = "CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 4"
 
 

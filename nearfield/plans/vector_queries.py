@@ -391,7 +391,7 @@ def codec_recall(spark, sf_dir):
     e = embeddings(spark, sf_dir).select("vec_id", "embedding")
     asked = _asked(e)
     exact, n = _exact(e, asked), asked.agg(F.count("*").alias("queries"))
-    codecs = {"pq": quant.ProductQuantizer.fit(quant.sample_matrix(e, "embedding", key="vec_id"), 8, 256), "polar": quant.PolarCodec(DIMENSION), "subspace": quant.SubspaceCodec(DIMENSION, 4)}
+    codecs = {"pq": quant.ProductQuantizer.fit(quant.sample_matrix(e, "embedding", key="vec_id"), 8, 256, spread=True), "polar": quant.codec("polar", DIMENSION), "subspace": quant.codec("subspace", DIMENSION, m=4)}
     out = None
     for name, c in codecs.items():
         found = quant.search_codes_many(e, c, asked, 10, key="vec_id", vector="embedding").withColumnRenamed("query_id", "query")

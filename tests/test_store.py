@@ -4,7 +4,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from nearfield.collection import Collection, NotEnabled
+from nearfield.collection import Collection, NotClustered, NotEnabled
 from nearfield.functions import embed
 from nearfield.operators.indexes import Index
 from nearfield.operators import bm25, fusion, metrics, postings, sharding, store, tenancy
@@ -158,6 +158,9 @@ def test_without_bm25(spark, tmp_path):
     assert c.count() == 0
     with pytest.raises(NotEnabled):
         c.search_bm25("a")
+    for asked in (lambda: c.export_sharded(), lambda: c.search_sharded("a")):
+        with pytest.raises(NotClustered, match="not_clustered"):
+            asked()
     with pytest.raises(ValueError):
         CollectionSpec("x", backend="other")
 

@@ -159,6 +159,28 @@ def test_graph_search_on_codes(spark, docs):
     assert knn.recall(found, exact, 10, keys=["query", "key"]).first()["recall"] >= 0.9
 
 
+def test_spread_centroids():
+    x = np.repeat(np.array([[0.0, 0], [9, 9], [-9, 5], [4, -8]]), 50, axis=0) + np.random.default_rng(2).normal(0, 0.1, (200, 2))
+    pq = quant.ProductQuantizer.fit(x, 1, 4, spread=True)
+    assert np.abs(pq.decode(pq.encode(x)) - x).max() < 1
+    assert quant.ProductQuantizer.fit(np.ones((5, 4)), 2, 3, spread=True).codebooks.shape == (2, 3, 2)
+
+
+def test_nearest_is_the_start_of_a_stable_sort():
+    d = np.random.default_rng(6).integers(0, 9, (40, 200)).astype(float)
+    d[3] = np.inf
+    for k in (1, 5, 30, 60, 300):
+        assert (knn.nearest(d, k) == np.argsort(d, axis=1, kind="stable")[:, :k]).all()
+
+
+def test_many_queries_hold_a_bounded_matrix(spark, monkeypatch):
+    """60,000 queries against 300 rows: the nearest of each is itself."""
+    rows = spark.range(300).select(F.col("id").alias("key"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("vector"))
+    asked = spark.range(60_000).select(F.col("id").alias("query_id"), F.array((F.col("id") % 300).cast("float"), F.lit(1.0).cast("float")).alias("query_vector"))
+    got = knn.search_batch(rows, asked, 1, metric="euclidean")
+    assert got.count() == 60_000 and got.where("key <> query_id % 300").count() == 0
+
+
 def test_prune_keeps_nearest_and_degree():
     space = graphs.Space(np.array([[0, 0], [1, 0], [1.1, 0], [0, 2.0]]), "euclidean")
     assert graphs.prune(space, 0, [1, 2, 3], 1.2, 8) == [1, 3]
