@@ -45,3 +45,22 @@ def test_percentiles_are_nearest_rank(spark):
     rows = spark.createDataFrame([("a", float(i)) for i in range(1, 101)] + [("b", 5.0)], "g string, v double")
     got = {r["g"]: (r["p50"], r["p95"], r["p99"], r["count"]) for r in metrics.latency_summary(rows, "v", "g").collect()}
     assert got == {"a": (50.0, 95.0, 99.0, 100), "b": (5.0, 5.0, 5.0, 1)}
+
+
+def test_idle_buckets_expire(spark, tmp_path):
+    """The state of a tenant without requests goes after a while."""
+    import time
+
+    schema = "tenant string, seq long, ts timestamp"
+    rows = spark.sql("SELECT concat('t', id % 3) AS tenant, id AS seq, timestamp_seconds(1700000000 + id) AS ts FROM range(9)")
+    rows.write.parquet(f"{tmp_path}/in")
+    limited = streams.rate_limit(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 2, idle_seconds=1.0)
+    q = limited.writeStream.format("memory").queryName("idle_buckets").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="500 milliseconds").start()
+    try:
+        until, held = time.time() + 90, set()
+        while time.time() < until and not (held and 0 in held and spark.table("idle_buckets").count() == 9):
+            held |= {o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]}
+            time.sleep(0.5)
+        assert spark.table("idle_buckets").count() == 9 and 3 in held and q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+    finally:
+        q.stop()
