@@ -38,9 +38,30 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Tables that written() has left in the shared folder, in order.
+_LEFT: list[str] = []
+
+
+def tables_left() -> int:
+    return len(_LEFT)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Deletes the tables that written() has made since tables_left() gave that number, and that nothing needs any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in _LEFT[since:]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    del _LEFT[since:]
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder, which later steps read instead of computing it again."""
+    """The frame as a Parquet table in the shared folder, which later steps read instead of computing it again.
+
+    It stays until sweep(), or as long as the folder.
+    """
     path = fresh_path(df.sparkSession, kind)
+    _LEFT.append(path)
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)

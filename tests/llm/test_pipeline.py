@@ -6,6 +6,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from nearfield.llm import quality
+from nearfield.llm.batches import tables_left
 
 from . import brute
 
@@ -83,7 +84,9 @@ def test_packing(stages):
 
 
 def test_run_is_the_stages(spark, stages):
+    before = tables_left()
     got = corpus_pipeline.run(spark, SF)
+    assert tables_left() == before + 1  # the lengths that the last stage's rows still need
     assert sorted(map(str, got.collect())) == sorted(map(str, stages[-1][1].collect()))
 
 
