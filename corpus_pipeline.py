@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.llm import decontaminate, jaccard, packing, quality, queries, tokencount, toxicity
-from nearfield.llm.batches import fresh_path, written
+from nearfield.llm.batches import fresh_path, sweep, tables_left, written
 from nearfield.session import table
 
 
@@ -51,12 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
+    """All stages, each written to the shared folder and read again; what a stage needed on the way goes with its end."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
+        before = tables_left()
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             path = fresh_path(spark, f"stage-{i}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            sweep(spark, before)
     return docs
