@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page id and streamed into gzip members, one for
-each record. A file is rolled when its compressed size reaches `roll_bytes`.
+Records are range-sorted by page id, then digest, and streamed into gzip members,
+one for each record. A file is rolled when its compressed size reaches `roll_bytes`.
 Record ids, digests and headers come from the content alone, so a task that is
 run again writes the same bytes. Each file is written under a temporary name
 that holds the attempt, then moved to its final name; the list of finished
@@ -11,7 +11,8 @@ what the manifest lists, so files of lost attempts are never read.
 Of pages with equal payloads (of `min_bytes` or more) the one with the smallest
 page id is a response; the others are revisits that refer to it and hold no
 payload. Only (page id, digest, target) of revisits is shuffled beside the
-pages: it is merged into the sorted stream just before its page.
+pages: it is merged into the sorted stream just before its page, so a task holds
+one of them.
 
 Defined results: a null html is an empty payload; a null url is `about:blank`;
 control characters in urls are percent-encoded; a null page id is written
@@ -147,10 +148,11 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     # a table again, so that the join can split the pages of a hot payload
     firsts = written(keyed.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select("digest", "first"), "firsts")
     revisits = keyed.join(firsts, "digest").groupBy("page_id", "digest").agg(F.first("first").alias("first"))
-    merged = source.select("page_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first"), "url", "html").unionByName(
-        revisits.select("page_id", F.lit(0).alias("kind"), "digest", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"))
+    merged = source.select("page_id", F.sha1("html").alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first"), "url", "html").unionByName(
+        revisits.select("page_id", "digest", F.lit(0).alias("kind"), "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"))
     )
-    ordered = merged.repartitionByRange(partitions or partitions_of(spark), "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
+    # the digest splits an id that very many pages share, as a null one
+    ordered = merged.repartitionByRange(partitions or partitions_of(spark), "page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url", "html")
     archives = f"{path}/archives"
     fs, root = _filesystem(archives)
     fs.create_dir(root, recursive=True)
@@ -160,22 +162,18 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
 
         t = TaskContext.get()
         roller = _Roller(archives, t.partitionId(), t.taskAttemptId(), roll_bytes)
-        done, now, targets, written = [], object(), {}, {}
+        done, now, target, copy = [], None, (), -1
         for b in slices(batches):
-            ids, kinds, digests, firsts, urls, htmls = (b.column(i).to_pylist() for i in range(6))
-            for page, kind, digest, first, url, payload in zip(ids, kinds, digests, firsts, urls, htmls, strict=True):
-                if page != now:
-                    now, targets, written = page, {}, {}
+            for page, digest, kind, first, url, payload in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if (page, digest) != now:
+                    now, target, copy = (page, digest), (), -1
                 if kind == 0:
-                    targets[digest] = first
+                    target = (first,)
                     continue
-                payload = payload or b""
-                sha = hashlib.sha1(payload).digest()
-                hexed = sha.hex()
-                copy = written[hexed] = written.get(hexed, -1) + 1
+                copy += 1
                 # the response is the first copy of the smallest page
-                revisit = hexed in targets and (targets[hexed] != page or copy > 0)
-                data = record(page, url, payload, base64.b32encode(sha).decode(), targets.get(hexed), revisit, copy, date)
+                revisit = bool(target) and (target[0] != page or copy > 0)
+                data = record(page, url, payload or b"", base64.b32encode(bytes.fromhex(digest)).decode(), target[0] if target else None, revisit, copy, date)
                 if file := roller.add(page, data):
                     done.append(file)
         if file := roller.close():
