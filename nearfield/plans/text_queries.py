@@ -134,8 +134,8 @@ def bm25_block_max_search(spark, sf_dir):
 
 def _stored(spark, sf_dir):
     path = f"{shared_dir(spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
-    postings.build(documents(spark, sf_dir), path, key="doc_id")
-    return postings.StoredIndex(spark, path)
+    postings.build(documents(spark, sf_dir), path, key="doc_id", buckets=8)
+    return postings.StoredIndex(spark, path, buckets=8)
 
 
 @query(_top_sql(QUERY))
