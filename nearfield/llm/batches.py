@@ -55,6 +55,20 @@ def sweep(spark: SparkSession, since: int) -> None:
     del _LEFT[since:]
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes to the system; glibc else keeps what lies between objects that stay."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder, which later steps read instead of computing it again.
 

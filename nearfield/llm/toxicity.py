@@ -32,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .batches import as_bytes, map_texts, slices
+from .batches import as_bytes, give_back, map_texts, slices
 from .words import alnum_words
 
 FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
@@ -181,9 +181,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
             found = [terms.of(t) for t in as_bytes(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array([f.tobytes() for f in found], pa.binary()), b.column(3)], names=["id", "y", "terms", "order"])
 
-    rows = sample.mapInArrow(extract, "id string, y int, terms binary, order long").groupBy("id").agg(F.max("y").alias("y"), F.min_by("terms", "order").alias("terms")).collect()
-    rows.sort(key=lambda r: r["id"])
-    return [np.frombuffer(bytes(r["terms"]), np.int32) for r in rows], np.array([1.0 if r["y"] > 0 else 0.0 for r in rows], np.float32)
+    found = sample.mapInArrow(extract, "id string, y int, terms binary, order long").groupBy("id").agg(F.max("y").alias("y"), F.min_by("terms", "order").alias("terms")).toArrow()
+    found = found.sort_by("id")
+    terms = [np.frombuffer(t.as_buffer(), np.int32) for t in found.column("terms")]  # views of the table, without a copy
+    return terms, (found.column("y").to_numpy() > 0).astype(np.float32)
 
 
 def score_toxicity(
@@ -204,6 +205,8 @@ def score_toxicity(
     """score and predicted beside the columns in keep; with keep_if only those columns, of rows below the threshold."""
     rows, y = training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, folds=folds, max_train=max_train, bits=bits)
     model = docs.sparkSession.sparkContext.broadcast(fit_several(rows, y, bits=bits, machines=machines))
+    del rows, y
+    give_back()
 
     def make():
         m = model.value

@@ -551,3 +551,20 @@ def test_long_texts_hash_as_short_ones(monkeypatch):
     monkeypatch.setattr(words, "PIECE", 64)
     assert (words.space_word_hashes(text) == whole).all()
     assert len(whole) == len(text.split())
+
+def test_memory_of_the_fit_goes_back(spark):
+    """Blocks freed between ones that stay: the process's own memory falls when they are given back."""
+    import re
+    from pathlib import Path
+
+    from nearfield.llm.batches import give_back
+
+    def own():
+        return int(re.search(r"\nPrivate_Dirty:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()).group(1)) / 1024
+
+    rows = [bytes(8000) for _ in range(20_000)]
+    stay = rows[::100]
+    del rows
+    before = own()
+    give_back()
+    assert len(stay) == 200 and own() < before - 80
