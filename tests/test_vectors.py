@@ -259,3 +259,26 @@ def test_code_candidates_of_each_shard_are_ranked(spark, hard):
     found = graphs.search_graph_codes(rows, graph, asked, pq, 10, over=2, shards=6)
     exact = knn.search_batch(rows, asked, 10).withColumnRenamed("query_id", "query")
     assert knn.recall(found, exact, 10, keys=["query", "key"]).first()["recall"] >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["vamana", "hnsw"])
+def test_narrow_beams_widen_until_neighbours_are_found(hard, kind):
+    """After inserts and after a fourth is removed, the width that a shard takes from 10 on finds the neighbours."""
+    if kind == "vamana":
+        g = graphs.Vamana(hard[:1350])
+    else:
+        g = graphs.Hnsw()
+        g.insert_many(hard[:1350])
+    g.insert_many(hard[1350:])
+    for gone in (set(), set(range(1, 1500, 4))):
+        w = walk_of(g, gone)
+        edge = w.scan(hard[::10], 10)[1][:, -1:] + 1e-9
+        wide = w.width_for(hard[:1500:24], 10, 10)
+        assert (w.walk(hard[::10], 10, wide)[1] <= edge).mean() >= 0.9
+    if kind == "vamana":
+        g.deleted = set(range(1, 1500, 4))
+        g.consolidate()
+    else:
+        g.delete_many(set(range(1, 1500, 4)))
+    layers = [g.links] if kind == "vamana" else g.layers
+    assert all(j % 4 != 1 for layer in layers for i, own in layer.items() for j in [i, *own])
