@@ -305,3 +305,20 @@ def test_copies_share_a_node(spark, hard, kind):
     pq = quant.ProductQuantizer.fit(hard[:300], 12, 64)
     exact = knn.search_batch(rows, asked, 10).withColumnRenamed("query_id", "query")
     assert knn.recall(graphs.search_graph_codes(rows, grown, asked, pq, 10, shards=2), exact, 10, keys=["query", "key"]).first()["recall"] >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["vamana", "hnsw"])
+def test_inserted_copies_join_nodes(spark, hard, kind):
+    """A copy of a marked key makes its node live again, a smaller key takes the links, and no key is lost."""
+    stored = spark.createDataFrame([(1000 + i, v.tolist()) for i, v in enumerate(hard[:60])], "key long, vector array<float>")
+    new = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(hard[:70])], "key long, vector array<float>")
+    graph = graphs.delete_from_graph(graphs.build_graph(stored, kind), stored.where("key < 1010"))
+    grown = graphs.insert_into_graph(graph, stored, new, kind).cache()
+    rows = {r["id"]: r for r in grown.where("layer = 0").collect()}
+    assert sorted(rows) == [*range(70), *range(1000, 1060)] and {i for i, r in rows.items() if r["deleted"]} == set(range(1000, 1010))
+    assert all(rows[1000 + i]["neighbours"] == [i] for i in range(60)) and all(j < 70 for r in rows.values() for j in r["neighbours"])
+    both = stored.unionByName(new)
+    asked = new.where("key < 20").select(F.col("key").alias("query_id"), F.col("vector").alias("query_vector"))
+    found = graphs.search_graph(both, grown, asked, 2)
+    got = {(r["query"], r["key"]) for r in found.collect()}
+    assert {(i, i) for i in range(20)} | {(i, 1000 + i) for i in range(10, 20)} <= got and not any(1000 <= j < 1010 for _, j in got)
